@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +61,6 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def text_bytes(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
+def text_bytes(batch: pa.RecordBatch, column: int) -> list[bytes]:
     """The texts of a batch in UTF-8; null is empty."""
-    for value in batch.column(column).cast(pa.large_binary()):
-        yield value.as_py() or b""
+    return [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
