@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontamination, lines, mixing, quality_model
+from loomgraph.llm import decontamination, lines, mixing, quality_model, quality_rules, warc
 from loomgraph.llm.common import crc_bucket, table
 
 
@@ -33,12 +33,25 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.drop("text", "lang")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archive(table(spark, sf_dir, "pages"))
+    merged = warc.merge_runs(warc.read_archive(spark, path))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_decontaminate": op2_decontaminate,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_model": op5_quality_model,
+        "op6_quality_rules": op6_quality_rules,
+        "op10_warc": op10_warc,
     }
 
 
@@ -47,4 +60,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_mix_sources": mixing.sql(),
         "op2_decontaminate": decontamination.sql(),
         "op4_line_dedup": lines.sql(),
+        "op10_warc": warc.sql(),
     }
