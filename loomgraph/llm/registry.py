@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontamination, lines, mixing, quality_model, quality_rules, warc
+from loomgraph.llm import decontamination, licenses, lines, mixing, quality_model, quality_rules, warc
 from loomgraph.llm.common import crc_bucket, table
 
 
@@ -21,6 +21,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_decontaminate": op2_decontaminate,
+        "op3_license_scan": op3_license_scan,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_model": op5_quality_model,
         "op6_quality_rules": op6_quality_rules,
@@ -59,6 +64,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": mixing.sql(),
         "op2_decontaminate": decontamination.sql(),
+        "op3_license_scan": licenses.sql(),
         "op4_line_dedup": lines.sql(),
         "op10_warc": warc.sql(),
     }
