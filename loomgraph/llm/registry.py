@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontamination, licenses, lines, mixing, quality_model, quality_rules, warc
+from loomgraph.llm import decontamination, licenses, lines, mixing, ngram_join, quality_model, quality_rules, warc
 from loomgraph.llm.common import crc_bucket, table
 
 
@@ -42,6 +42,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text", "lang")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archive(table(spark, sf_dir, "pages"))
     merged = warc.merge_runs(warc.read_archive(spark, path))
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_model": op5_quality_model,
         "op6_quality_rules": op6_quality_rules,
+        "op7_ngram_join": op7_ngram_join,
         "op10_warc": op10_warc,
     }
 
@@ -66,5 +71,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": decontamination.sql(),
         "op3_license_scan": licenses.sql(),
         "op4_line_dedup": lines.sql(),
+        "op7_ngram_join": ngram_join.sql(),
         "op10_warc": warc.sql(),
     }
