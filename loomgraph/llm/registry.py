@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontamination, licenses, lines, mixing, ngram_join, quality_model, quality_rules, token_counts, warc
+from loomgraph.llm import decontamination, language_model, licenses, lines, mixing, ngram_join, quality_model, quality_rules, token_counts, warc
 from loomgraph.llm.common import crc_bucket, table
 
 
@@ -46,6 +46,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_edited(docs.withColumn("edits", token_counts.sample_edits(F.col("doc_id"), F.col("text"))))
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_model": op5_quality_model,
         "op6_quality_rules": op6_quality_rules,
         "op7_ngram_join": op7_ngram_join,
+        "op8_language_model": op8_language_model,
         "op9_token_counts": op9_token_counts,
         "op10_warc": op10_warc,
     }
