@@ -3,8 +3,8 @@
 A document is its set of distinct word n-grams.  Sets are taken in bands of size; in
 a band two sets that link differ in at most H n-grams.  The universe of n-grams is
 hashed into segments so that, by the pigeonhole principle, two such sets agree in one
-segment, or in all but one n-gram of a larger one, or in a subset of a larger one's
-parts.  Each band takes the cheapest of these allocations.  Sets with a signature in
+segment, or in one of the subset that has n-grams enough, or in two parts of a larger
+one, or in all but one n-gram of it.  Each band takes the cheapest of these allocations.  Sets with a signature in
 common are compared exactly.
 
 A bucket of equal signatures may hold thousands of near copies.  Its members are
@@ -29,12 +29,16 @@ from loomgraph.llm.common import materialise, text_bytes
 
 #: Ids that may be broadcast to cut a table down to the documents that are compared, 8 bytes each.
 BROADCAST_IDS = 1_000_000
+#: Copies that may be broadcast to be left out, 24 bytes each.
+BROADCAST_COPIES = 500_000
 #: Members that one copy of a leader's text is compared with.
 PER_LEADER = 32
 #: Distance to the leader from which a member goes to the next round; differences are kept up to FAR + (1 - threshold).
 FAR = 0.4
 ROUNDS = 4
 CACHED_WORDS = 400_000
+#: For the cost of an allocation: what a comparison costs in rows, and the share of a set's n-grams that unlike sets may hold too.
+COMPARISON, SHARED = 1000, 0.002
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -71,9 +75,10 @@ class Shingles:
 class Bands:
     """Bands of set sizes and, for each, the number of segments and what is indexed of them."""
 
-    def __init__(self, threshold_pct: int, documents: int, ratio: float = 1.2):
+    def __init__(self, threshold_pct: int, documents: int, ratio: float = 1.4):
         self.pct, self.documents, self.ratio = threshold_pct, max(1, documents), ratio
         self.lows = [1, 2]
+        self.chosen: dict[int, tuple[str, int, int, int]] = {}
 
     def extend(self, size: int) -> None:
         while self.lows[-1] <= 2 * size:
@@ -94,24 +99,43 @@ class Bands:
             self.extend(self.lows[k + 1])
         return out
 
-    def allocation(self, band: int) -> tuple[str, int, int]:
-        """(kind, segments, parts): the cheapest cover of H + 1 differences, counted in rows and expected chance meetings.
+    def allocation(self, band: int) -> tuple[str, int, int, int]:
+        """(kind, segments, slack, floor): the cheapest cover of H differences, counted in rows and chance meetings.
 
-        exact: H+1 segments, each indexed whole.  subsets: half as many, of three parts each, indexed by every two
-        parts.  deletion: half as many, indexed whole and with each one n-gram left out.
+        whole: H + 1 segments.  rich: H + 1 + slack segments, of which those of more than floor n-grams are indexed; linked sets
+        agree in 1 + slack at least, so where one of them has no more than slack poor segments they agree in a rich one.
+        subsets: half as many, of three parts each, indexed by every two parts.  deletion: half as many, indexed whole and
+        with each one n-gram left out.
         """
+        if band in self.chosen:
+            return self.chosen[band]
         low, high = self.lows[band], self.lows[band + 1] - 1
         h = self.differ(high, high)
         half = -(-(h + 1) // 2)
-        chance = lambda n: min(1.0, math.exp(-n)) ** 2 * self.documents / 8  # noqa: E731  both parts empty, with about an eighth of all in the band
-        k1, k2 = low / (h + 1), low / half
-        costs = {
-            "exact": (h + 1) * (1 + (h > 0) * chance(k1)),
-            "subsets": half * 3 * (1 + chance(2 * k2 / 3)),
-            "deletion": half * (1 + high / half) * (1 + chance(k2)),
-        }
-        kind = min(costs, key=costs.__getitem__)
-        return kind, h + 1 if kind == "exact" else half, 3 if kind == "subsets" else 1
+
+        def cost(rows: float, mean: float, floor: int = -1) -> float:
+            """Rows, and the members that each meets by chance: unlike sets share few n-grams, so by segments of few."""
+            p = [math.exp(-mean) * mean**j / math.factorial(j) for j in range(floor + 1, floor + 4)]
+            met = sum((x * SHARED**j) ** 2 for j, x in enumerate(p, floor + 1)) * self.documents / 8
+            return rows * (1 + COMPARISON * met)
+
+        options = [(cost(h + 1, low / (h + 1)) if h else 1.0, ("whole", h + 1, 0, -1))]
+        for floor in (0, 1) if h else ():
+            slack = 1
+            for _ in range(30):  # more segments are poorer, so the slack is found step by step
+                mean = low / (h + 1 + slack)
+                poor = sum(math.exp(-mean) * mean**j / math.factorial(j) for j in range(floor + 1))
+                need = math.ceil((h + 1 + slack) * poor * 1.2) + 1
+                if need <= slack or need > 3 * (h + 1):
+                    break
+                slack = need
+            if need <= slack:
+                options.append((cost((h + 1 + slack) * (1 - poor), mean, floor), ("rich", h + 1 + slack, slack, floor)))
+        if h:
+            options.append((cost(3 * half, 2 * low / (3 * half)), ("subsets", half, 0, -1)))
+            options.append((cost(half * (1 + high / half), low / half), ("deletion", half, 0, -1)))
+        self.chosen[band] = min(options)[1]
+        return self.chosen[band]
 
     def signatures(self, grams: np.ndarray) -> np.ndarray:
         """All signatures of a sorted set; linked sets have one in common."""
@@ -121,8 +145,8 @@ class Bands:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
         out = []
         for band in self.of(len(grams)):
-            kind, segments, parts = self.allocation(band)
-            n = segments * parts
+            kind, segments, slack, floor = self.allocation(band)
+            n = segments * (3 if kind == "subsets" else 1)
             # Segments are ranges of the hash, so those of a sorted set are slices.
             cuts = np.array([(i << 64) // n for i in range(n)], np.uint64)
             edge = np.concatenate([np.searchsorted(grams, cuts), [len(grams)]])
@@ -132,7 +156,9 @@ class Bands:
                 s = sums.reshape(segments, 3)
                 out += [_mix(_mix(s[:, i] * _M1 + tag + np.uint64(i)) * _M2 + s[:, j]) for i, j in ((0, 1), (1, 2), (2, 0))]
             else:
-                out.append(_mix(sums * _M1 + tag))
+                whole = _mix(sums * _M1 + tag)
+                rich = np.diff(edge) > floor
+                out.append(whole[rich] if n - rich.sum() <= slack else whole)
                 if kind == "deletion":
                     at = np.repeat(np.arange(segments), np.diff(edge))
                     out.append(_mix((sums[at] - mixed) * _M1 + tag[at]))
@@ -306,8 +332,11 @@ def near_duplicates(docs: DataFrame, n: int = 3, pct: int = 90, doc_id: str = "d
     feats = materialise(source.mapInArrow(_features(n, pct, docs.count()), "doc_id bigint, key binary, n bigint, sigs array<bigint>"), "features")
     classes = feats.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes, "classes")
-    mine = (feats["key"] == classes["key"]) & (feats["doc_id"] == classes["rep"])
-    reps = feats.join(classes, mine, "left_semi").select(F.col("doc_id").alias("id"), "n", "sigs")
+    # Copies but the first of each class go, by a join that moves no signatures while they are few.
+    again = classes.where("copies > 1").select("key", "rep")
+    copies = materialise(feats.select("key", "doc_id").join(again, "key").where("doc_id <> rep").select("key", "doc_id"), "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
+    reps = feats.where("key IS NOT NULL AND doc_id IS NOT NULL").join(copies, ["key", "doc_id"], "left_anti").select(F.col("doc_id").alias("id"), "sigs")
     joined = components(links(reps, source.where(F.col("id").isNotNull()), n, pct))
     of_class = classes.join(joined, F.col("rep") == F.col("id"), "left").where("copies > 1 OR id IS NOT NULL")
     of_class = of_class.select(F.col("key").alias("k"), F.coalesce("component", "rep").alias("c"))
