@@ -64,3 +64,13 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
 def text_bytes(batch: pa.RecordBatch, column: int) -> list[bytes]:
     """The texts of a batch in UTF-8; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
+
+
+#: Keys that may be broadcast to leave rows out, 8 bytes each.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` is none of the keys; a null is none of them.  The keys go to the executors while they are few."""
+    keys = materialise(keys.select(column).distinct(), "left-out")
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, column, "left_anti")
