@@ -12,7 +12,7 @@ def source_files(spark: SparkSession, repos: Mapping[str, str], glob: str = "*")
     """Every file below each service's root; the path is the whole one."""
     parts = []
     for service, root in repos.items():
-        read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+        read = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
         parts.append(read.select(F.lit(service).alias("service"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
     out = parts[0]
     for p in parts[1:]:
