@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import pyarrow as pa
@@ -49,7 +50,19 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     """Cuts the lineage with a written table in the shared folder, which outlives the executors that made it."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more, and lets Spark drop the shuffle files of plans that are gone."""
+    for t in tables:
+        spark = t.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def ascii_lower(text: Column) -> Column:

@@ -11,7 +11,8 @@ A bucket of equal signatures may hold thousands of near copies.  Its members are
 compared with one leader, not with each other.  The differences to the leader are
 kept, and as the difference of two members is the difference of their differences,
 what else may link in the bucket is found by a prefix-filtered join of these small
-sets.  Members far from the leader go to a next round with another leader.
+sets.  Members far from the leader, which mostly share a passage with it, are joined by their own rarest
+n-grams.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialise, text_bytes
+from loomgraph.llm.common import discard, materialise, text_bytes
 
 #: Ids that may be broadcast to cut a table down to the documents that are compared, 8 bytes each.
 BROADCAST_IDS = 1_000_000
@@ -33,9 +34,9 @@ BROADCAST_IDS = 1_000_000
 BROADCAST_COPIES = 500_000
 #: Members that one copy of a leader's text is compared with.
 PER_LEADER = 32
-#: Distance to the leader from which a member goes to the next round; differences are kept up to FAR + (1 - threshold).
-FAR = 0.4
-ROUNDS = 4
+#: Distance to the leader up to which a member's differences are kept.  One that is farther than this less (1 - threshold) is
+#: joined by its rarest n-grams: of two that link, both are kept or both are joined so.
+NEAR = 0.6
 CACHED_WORDS = 400_000
 #: For the cost of an allocation: what a comparison costs in rows, and the share of a set's n-grams that unlike sets may hold too.
 COMPARISON, SHARED = 1000, 0.002
@@ -165,11 +166,38 @@ class Bands:
         return np.unique(np.concatenate(out))
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """A set's size and the parities of how many n-grams of a set fall into each of about eight times as many ranges of the hash, by a power of two.
+
+    Where two sets' parities differ, so do the sets, by one n-gram at least.  A sketch is folded to half its length by XOR.
+    """
+    if not len(grams):
+        return b""
+    bits = len(grams).bit_length() + 2
+    odd = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return len(grams).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of unpacked parities brought to the given length."""
+    return np.bitwise_xor.reduce(x.reshape(size, -1), axis=1)
+
+
+def least_differ(a: bytes, b: bytes) -> int:
+    """What two sets differ by at least, by their sketches; the finer one is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) == len(y):
+        return int(np.bitwise_count(x ^ y).sum())
+    x, y = np.unpackbits(x), np.unpackbits(y)
+    size = min(len(x), len(y))
+    return int((folded(x, size) ^ folded(y, size)).sum()) if size else 0
+
+
 def _features(n: int, pct: int, documents: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, bands = Shingles(n), Bands(pct, documents)
         for batch in batches:
-            keys, sizes, sigs, ends = [], [], [], [0]
+            keys, sizes, sigs, ends, sketches = [], [], [], [0], []
             for body in text_bytes(batch, 1):
                 words = body.lower().split()
                 grams = shingles.of(words)
@@ -177,10 +205,11 @@ def _features(n: int, pct: int, documents: int):
                 sizes.append(len(grams))
                 sigs.append(bands.signatures(grams))
                 ends.append(ends[-1] + len(sigs[-1]))
+                sketches.append(sketch(grams))
             flat = np.concatenate([*sigs, np.zeros(0, np.uint64)]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "key", "n", "sigs"]
+                [batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists], ["doc_id", "key", "n", "sketch", "sigs"]
             )
 
     return run
@@ -192,49 +221,96 @@ def _linked(a: int, b: int, differ: int, pct: int) -> bool:
 
 
 COMPARED = "leader bigint, member bigint, size_l bigint, size_m bigint, differ bigint, linked boolean, delta array<bigint>"
+#: Rows in which a leader's payloads come first, with a null member, and then those of its members.
+HEADED = "leader bigint, salt bigint, member bigint, payload binary"
+
+
+def _headed(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[int, int, list, bytes]]]:
+    """(leader, member, the leader's payloads, the member's) batch by batch; an id that repeats has several payloads."""
+    at, heads, heading = None, [], False
+    for batch in batches:
+        rows = []
+        for name, member, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), text_bytes(batch, 3), strict=True):
+            if member is None:
+                heads = [*heads, payload] if heading and name == at else [payload]
+                at, heading = name, True
+            else:
+                assert name == at
+                heading = False
+                rows.append((name, member, heads, payload))
+        yield rows
+
+
+def _near(a: int, b: int, differ: int, pct: int) -> bool:
+    """Whether a member is near enough for its differences to be kept: differ / union, with union = (a + b + differ) / 2."""
+    return 2 * differ <= NEAR * (a + b + differ)
+
+
+def _sketched(pct: int):
+    """Pairs whose sketches don't show that they are far, with null sizes; and the others, with what they differ by at least."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _headed(batches):
+            out = []
+            for leader, member, heads, payload in rows:
+                b = int.from_bytes(payload[:8], "little")
+                known = [(int.from_bytes(h[:8], "little"), least_differ(h[8:], payload[8:])) for h in heads]
+                near = any(_near(a, b, d, pct) for a, d in known)
+                a, d = min(known, key=lambda k: k[1])
+                out.append((leader, member, None if near else a, b, None if near else d, False, None))
+            yield _compared(out)
+
+    return run
+
+
+def _compared(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in COMPARED.split(", ")])
 
 
 def _compare(n: int, pct: int):
-    """Rows come leader by leader, its own text first."""
+    """The pairs' sets, exactly."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(n)
-        at, leaders, heading = None, [], False
-        for batch in batches:
-            rows = []
-            names, members = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for name, member, body in zip(names, members, text_bytes(batch, 3), strict=True):
+        shingles, last, leaders = Shingles(n), None, []
+        for rows in _headed(batches):
+            out = []
+            for name, member, heads, body in rows:
+                if heads is not last:
+                    last, leaders = heads, [shingles.of(x.lower().split()) for x in heads]
                 grams = shingles.of(body.lower().split())
-                if member is None:  # an id that repeats has several texts
-                    leaders = [*leaders, grams] if heading and name == at else [grams]
-                    at, heading = name, True
-                    continue
-                assert name == at
-                heading = False
                 leader, delta = min(((x, np.setxor1d(x, grams, assume_unique=True)) for x in leaders), key=lambda p: len(p[1]))
                 a, b, d = len(leader), len(grams), len(delta)
-                near = 2 * d <= (FAR + 1 - pct / 100) * (a + b + d)  # distance = d / union, union = (a + b + d) / 2
-                rows.append((name, member, a, b, d, _linked(a, b, d, pct), delta.view(np.int64) if near else None))
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())]
-            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in COMPARED.split(", ")])
+                out.append((name, member, a, b, d, _linked(a, b, d, pct), delta.view(np.int64) if _near(a, b, d, pct) else None))
+            yield _compared(out)
 
     return run
 
 
-def compare(texts: DataFrame, pairs: DataFrame, n: int, pct: int) -> DataFrame:
-    """Exact comparison of (leader, member) pairs; a leader's text goes once to every few members, not to each."""
-    pairs = materialise(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("leader", "member")).alias("id")).distinct()
-    if pairs.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    needed = materialise(texts.join(ids, "id", "left_semi"), "compared-texts")
+def _stream(pairs: DataFrame, payloads: DataFrame, run) -> DataFrame:
+    """Runs over (leader, member) pairs with their payloads (id, payload); a leader's goes once to every few members, not to each."""
     counts = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("c"))
     salted = pairs.join(counts, "leader").withColumn("salt", F.pmod(F.xxhash64("member"), F.ceil(F.col("c") / PER_LEADER).cast("bigint")))
-    members = salted.join(needed, F.col("member") == F.col("id")).select("leader", "salt", "member", "text")
-    heads = salted.select("leader", "salt").distinct().join(needed, F.col("leader") == F.col("id")).select("leader", "salt", F.lit(None).cast("bigint").alias("member"), "text")
+    members = salted.join(payloads, F.col("member") == F.col("id")).select("leader", "salt", "member", "payload")
+    none = F.lit(None).cast("bigint").alias("member")
+    heads = salted.select("leader", "salt").distinct().join(payloads, F.col("leader") == F.col("id")).select("leader", "salt", none, "payload")
     rows = heads.unionByName(members).repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member").asc_nulls_first())
-    return rows.mapInArrow(_compare(n, pct), COMPARED)
+    return rows.mapInArrow(run, COMPARED)
+
+
+def compare(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, n: int, pct: int) -> DataFrame:
+    """Comparison of (leader, member) pairs: by sketches, and exactly, by their texts, where these leave it open."""
+    pairs = materialise(pairs, "pairs")
+    first = materialise(_stream(pairs, sketches, _sketched(pct)), "sketched")
+    discard(pairs)
+    rest = materialise(first.where("differ IS NULL").select("leader", "member"), "open-pairs")
+    ids = rest.select(F.explode(F.array("leader", "member")).alias("id")).distinct()
+    if rest.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    needed = materialise(texts.join(ids, "id", "left_semi"), "compared-texts")
+    out = materialise(first.where("differ IS NOT NULL").unionByName(_stream(rest, needed, _compare(n, pct))), "compared")
+    discard(first, rest, needed)
+    return out
 
 
 def _delta_links(near: DataFrame, pct: int) -> DataFrame:
@@ -273,36 +349,67 @@ def _delta_links(near: DataFrame, pct: int) -> DataFrame:
     return both.where(100 * inter >= pct * (F.col("sa") + F.col("sb") - inter)).select("a", "b")
 
 
-def links(reps: DataFrame, texts: DataFrame, n: int, pct: int) -> DataFrame:
-    """Links (a, b) between different sets that join every two linked ones, directly or in steps."""
+def _grams(n: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(n)
+        for batch in batches:
+            sets = [shingles.of(x.lower().split()) for x in text_bytes(batch, 1)]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            flat = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["id", "grams"])
+
+    return run
+
+
+def _rare_pairs(buckets: DataFrame, texts: DataFrame, n: int, pct: int) -> DataFrame:
+    """(leader, member) pairs of one bucket that may link though both are far from its leader.
+
+    Two linked sets share one of each one's rarest n-grams, as many as it may lack of the other and one more (prefix filter);
+    the order is by how many of the buckets' documents hold an n-gram, and what follows the place bounds what can be shared.
+    """
+    ids = buckets.select("id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = texts.join(ids, "id", "left_semi").mapInArrow(_grams(n), "id bigint, grams array<bigint>")
+    tokens = sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    shared = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("df > 1")
+    own = Window.partitionBy("id")
+    # N-grams that no other document has stand before these.
+    placed = shared.withColumn("pos", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "g")))
+    prefix = materialise(placed.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * pct / 100) + 1).select("id", "n", "g", "pos"), "prefixes")
+    x, y = prefix.toDF("a", "na", "g", "pa"), prefix.toDF("b", "nb", "g", "pb")
+    room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")) & ((100 + pct) * room >= pct * (F.col("na") + F.col("nb")))
+    met = x.join(y, (x["g"] == y["g"]) & fits).select("a", "b").distinct()
+    one, two = buckets.toDF("a", "sig"), buckets.toDF("b", "sig")
+    return met.join(one, "a").join(two, ["b", "sig"], "left_semi").select(F.col("a").alias("leader"), F.col("b").alias("member")).distinct()
+
+
+def meetings(reps: DataFrame) -> DataFrame:
+    """(id, sig) of sets (id, sigs) that have a signature in common with another."""
     by_sig = Window.partitionBy("sig").orderBy("id")
     rows = reps.select("id", F.explode("sigs").alias("sig"))
     met = F.lag("id").over(by_sig).isNotNull() | F.lead("id").over(by_sig).isNotNull()
-    buckets = materialise(rows.withColumn("met", met).where("met").drop("met"), "buckets")
+    return materialise(rows.withColumn("met", met).where("met").drop("met"), "buckets")
+
+
+def links(buckets: DataFrame, texts: DataFrame, sketches: DataFrame, n: int, pct: int) -> DataFrame:
+    """Links (a, b) between different sets that join every two linked ones, directly or in steps."""
     found = []
-    for _ in range(ROUNDS):
-        if buckets.isEmpty():
-            break
-        # The leader is the member with the most buckets, which differs least from the others.
-        central = buckets.groupBy("id").agg(F.count(F.lit(1)).alias("c"))
-        lead = buckets.join(central, "id").groupBy("sig").agg(F.max_by("id", F.struct(F.col("c"), -F.col("id"))).alias("leader"), F.count(F.lit(1)).alias("k"))
-        led = materialise(buckets.join(lead.where("k > 1").drop("k"), "sig").where("id <> leader"), "led")
-        pairs = led.select("leader", F.col("id").alias("member")).distinct()
-        seen = materialise(compare(texts, pairs, n, pct), "compared")
-        found.append(seen.where("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")))
-        found.append(materialise(_delta_links(seen.where(F.col("delta").isNotNull()), pct), "difference-links"))
-        far = seen.where(2 * F.col("differ") > FAR * (F.col("size_l") + F.col("size_m") + F.col("differ"))).select("leader", F.col("member").alias("id"))
-        buckets = materialise(led.join(far, ["leader", "id"], "left_semi").select("id", "sig"), "buckets")
-    if not buckets.isEmpty():
-        # What is left are small buckets of unlike sets that met by chance.
-        other = buckets.select("sig", F.col("id").alias("member"))
-        pairs = buckets.join(other, "sig").where("id < member").select(F.col("id").alias("leader"), "member").distinct()
-        seen = compare(texts, pairs, n, pct)
-        found.append(materialise(seen.where("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")), "last-links"))
-    out = reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    for x in found:
-        out = out.unionByName(x)
-    return out
+    # The leader is the member with the most buckets, which differs least from the others.
+    central = buckets.groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+    lead = buckets.join(central, "id").groupBy("sig").agg(F.max_by("id", F.struct(F.col("c"), -F.col("id"))).alias("leader"))
+    led = materialise(buckets.join(lead, "sig").where("id <> leader"), "led")
+    pairs = led.select("leader", F.col("id").alias("member")).distinct()
+    seen = compare(texts, sketches, pairs, n, pct)
+    found.append(seen.where("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")))
+    found.append(materialise(_delta_links(seen.where(F.col("delta").isNotNull()), pct), "difference-links"))
+    far = seen.where(2 * F.col("differ") > (NEAR - 1 + pct / 100) * (F.col("size_l") + F.col("size_m") + F.col("differ"))).select("leader", F.col("member").alias("id"))
+    rest = materialise(led.join(far, ["leader", "id"], "left_semi").select("id", "sig"), "far-buckets")
+    discard(led)
+    seen = compare(texts, sketches, _rare_pairs(rest, texts, n, pct), n, pct)
+    found.append(seen.where("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")))
+    discard(buckets, rest)
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -329,15 +436,22 @@ def near_duplicates(docs: DataFrame, n: int = 3, pct: int = 90, doc_id: str = "d
     with all their texts; a row without an id has the component of its copies, or none.
     """
     source = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    feats = materialise(source.mapInArrow(_features(n, pct, docs.count()), "doc_id bigint, key binary, n bigint, sigs array<bigint>"), "features")
+    texts = source.where(F.col("id").isNotNull()).select("id", F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
+    made = source.select(F.col("id").alias("doc_id"), "text").mapInArrow(_features(n, pct, docs.count()), "doc_id bigint, key binary, n bigint, sketch binary, sigs array<bigint>")
+    made = materialise(made, "features")
+    feats = materialise(made.drop("sigs"), "sets")
     classes = feats.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes, "classes")
     # Copies but the first of each class go, by a join that moves no signatures while they are few.
     again = classes.where("copies > 1").select("key", "rep")
     copies = materialise(feats.select("key", "doc_id").join(again, "key").where("doc_id <> rep").select("key", "doc_id"), "copies")
-    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
-    reps = feats.where("key IS NOT NULL AND doc_id IS NOT NULL").join(copies, ["key", "doc_id"], "left_anti").select(F.col("doc_id").alias("id"), "sigs")
-    joined = components(links(reps, source.where(F.col("id").isNotNull()), n, pct))
+    few = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
+    reps = made.where("key IS NOT NULL AND doc_id IS NOT NULL").join(few, ["key", "doc_id"], "left_anti").select(F.col("doc_id").alias("id"), "sigs")
+    buckets = meetings(reps)
+    del reps
+    discard(made, copies)
+    sketches = feats.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.col("sketch").alias("payload"))
+    joined = components(links(buckets, texts, sketches, n, pct))
     of_class = classes.join(joined, F.col("rep") == F.col("id"), "left").where("copies > 1 OR id IS NOT NULL")
     of_class = of_class.select(F.col("key").alias("k"), F.coalesce("component", "rep").alias("c"))
     out = feats.select("doc_id", "key", "n").join(of_class, F.col("key") == F.col("k"), "left")
