@@ -22,6 +22,7 @@ from loomgraph.plans import evaluate as E
 from loomgraph.plans import oracles as O
 from loomgraph.plans import query as Q
 from loomgraph.sources import catalog, declarative, detect, parsed, rendered
+from loomgraph.sources.files import fingerprints as file_fingerprints
 
 AS_OF = dt.datetime(2024, 1, 31)
 FEEDBACK_DAYS = 20
@@ -334,6 +335,15 @@ def query_chains(t):
     return t.answers.select("query", F.col("rank").cast("bigint").alias("rank"), "confidence", text(ids).alias("ids"), text("services").alias("services"), text(way).alias("ways"))
 
 
+@query(f"WITH RECURSIVE {_ANSWER} SELECT hint_id, count(*) AS n_clusters, string_agg(ids, ';' ORDER BY ans.rank) AS ids FROM ans WHERE ans.rank <= 3 GROUP BY 1")
+def serialized_answers(t):
+    """Payloads of the best three clusters, read back."""
+    kind = "array<struct<confidence:double,nodes:array<struct<type:string,label:string,name:string,service:string,id:string>>>>"
+    back = E.serialized(t.answers).select("hint_id", F.from_json("payload", kind).alias("p"))
+    ids = F.transform("p", lambda c: F.array_join(F.transform(c["nodes"], lambda n: n["id"]), ","))
+    return back.select("hint_id", F.size("p").cast("bigint").alias("n_clusters"), F.array_join(ids, ";").alias("ids"))
+
+
 _NAMES = f"nm AS (SELECT lower(w1 || {O.cap('w2')}) AS name FROM p0 WHERE t = 1)"
 
 
@@ -581,6 +591,12 @@ def changed_services(t):
     return K.changed_services(nation.select("name", "git_hash"), state, t.nodes).select("name", "rescan")
 
 
+@query("SELECT 'svc-' || n_regionkey AS name, sha256(string_agg(n_name || ' ' || sha256(n_name), chr(10) ORDER BY n_name || ' ' || sha256(n_name))) AS git_hash FROM nation GROUP BY 1")
+def fingerprints(t):
+    rows = t.table("nation").select(F.concat(F.lit("svc-"), "n_regionkey").alias("service"), F.col("n_name").alias("path"), F.col("n_name").alias("text"))
+    return file_fingerprints(rows)
+
+
 # Scanners over rendered sources
 
 _NODE = ["id", "type", "raw_name", "service", "method", "path", "target_service"]
