@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import discard, materialise, text_bytes
+from loomgraph.llm.common import discard, materialise, pieces, text_bytes
 
 #: Ids that may be broadcast to cut a table down to the documents that are compared, 8 bytes each.
 BROADCAST_IDS = 1_000_000
@@ -37,9 +37,13 @@ PER_LEADER = 32
 #: Distance to the leader up to which a member's differences are kept.  One that is farther than this less (1 - threshold) is
 #: joined by its rarest n-grams: of two that link, both are kept or both are joined so.
 NEAR = 0.6
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
+#: Far members of a bucket up to which its pairs are formed; of more, only those that share a rare n-gram.
+SMALL_BUCKET = 8
 #: For the cost of an allocation: what a comparison costs in rows, and the share of a set's n-grams that unlike sets may hold too.
-COMPARISON, SHARED = 1000, 0.002
+COMPARISON, SHARED = 50, 0.002
+#: And the share of a set that a passage of others may be, and how many of the unlike sets share one.
+PASSAGE, PASSAGES = 0.3, 0.001
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -117,11 +121,15 @@ class Bands:
         def cost(rows: float, mean: float, floor: int = -1) -> float:
             """Rows, and the members that each meets by chance: unlike sets share few n-grams, so by segments of few."""
             p = [math.exp(-mean) * mean**j / math.factorial(j) for j in range(floor + 1, floor + 4)]
-            met = sum((x * SHARED**j) ** 2 for j, x in enumerate(p, floor + 1)) * self.documents / 8
+            met = sum((x * SHARED**j) ** 2 for j, x in enumerate(p, floor + 1))
+            # sets that share a passage: all of a segment's n-grams are the passage's, in both
+            inside = PASSAGE * mean
+            some = 1 - sum(math.exp(-inside) * inside**j / math.factorial(j) for j in range(floor + 1))
+            met = (met + PASSAGES * some * math.exp(-2 * (mean - inside))) * self.documents / 8
             return rows * (1 + COMPARISON * met)
 
         options = [(cost(h + 1, low / (h + 1)) if h else 1.0, ("whole", h + 1, 0, -1))]
-        for floor in (0, 1) if h else ():
+        for floor in range(5) if h else ():
             slack = 1
             for _ in range(30):  # more segments are poorer, so the slack is found step by step
                 mean = low / (h + 1 + slack)
@@ -196,7 +204,7 @@ def least_differ(a: bytes, b: bytes) -> int:
 def _features(n: int, pct: int, documents: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, bands = Shingles(n), Bands(pct, documents)
-        for batch in batches:
+        for batch in pieces(batches):
             keys, sizes, sigs, ends, sketches = [], [], [], [0], []
             for body in text_bytes(batch, 1):
                 words = body.lower().split()
@@ -228,7 +236,7 @@ HEADED = "leader bigint, salt bigint, member bigint, payload binary"
 def _headed(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[int, int, list, bytes]]]:
     """(leader, member, the leader's payloads, the member's) batch by batch; an id that repeats has several payloads."""
     at, heads, heading = None, [], False
-    for batch in batches:
+    for batch in pieces(batches):
         rows = []
         for name, member, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), text_bytes(batch, 3), strict=True):
             if member is None:
@@ -352,7 +360,7 @@ def _delta_links(near: DataFrame, pct: int) -> DataFrame:
 def _grams(n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingles.of(x.lower().split()) for x in text_bytes(batch, 1)]
             ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             flat = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
@@ -384,12 +392,11 @@ def _rare_pairs(buckets: DataFrame, texts: DataFrame, n: int, pct: int) -> DataF
     return met.join(one, "a").join(two, ["b", "sig"], "left_semi").select(F.col("a").alias("leader"), F.col("b").alias("member")).distinct()
 
 
-def meetings(reps: DataFrame) -> DataFrame:
-    """(id, sig) of sets (id, sigs) that have a signature in common with another."""
+def met(rows: DataFrame) -> DataFrame:
+    """Rows (id, sig) whose signature another id has too."""
     by_sig = Window.partitionBy("sig").orderBy("id")
-    rows = reps.select("id", F.explode("sigs").alias("sig"))
-    met = F.lag("id").over(by_sig).isNotNull() | F.lead("id").over(by_sig).isNotNull()
-    return materialise(rows.withColumn("met", met).where("met").drop("met"), "buckets")
+    another = F.lag("id").over(by_sig).isNotNull() | F.lead("id").over(by_sig).isNotNull()
+    return rows.withColumn("met", another).where("met").drop("met")
 
 
 def links(buckets: DataFrame, texts: DataFrame, sketches: DataFrame, n: int, pct: int) -> DataFrame:
@@ -404,11 +411,18 @@ def links(buckets: DataFrame, texts: DataFrame, sketches: DataFrame, n: int, pct
     found.append(seen.where("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")))
     found.append(materialise(_delta_links(seen.where(F.col("delta").isNotNull()), pct), "difference-links"))
     far = seen.where(2 * F.col("differ") > (NEAR - 1 + pct / 100) * (F.col("size_l") + F.col("size_m") + F.col("differ"))).select("leader", F.col("member").alias("id"))
-    rest = materialise(led.join(far, ["leader", "id"], "left_semi").select("id", "sig"), "far-buckets")
+    # Most met their leader only, by chance; a pair takes two that are far from it.
+    rest = materialise(met(led.join(far, ["leader", "id"], "left_semi").select("id", "sig")), "far-buckets")
     discard(led)
-    seen = compare(texts, sketches, _rare_pairs(rest, texts, n, pct), n, pct)
+    # Pairs of small buckets are few and go to the sketches at once; those of large ones must share a rare n-gram too.
+    counted = rest.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("sig")))
+    one, two = (counted.where(F.col("k") <= SMALL_BUCKET).select(F.col("id").alias(x), "sig") for x in ("leader", "member"))
+    pairs = one.join(two, "sig").where("leader < member").select("leader", "member")
+    large = materialise(counted.where(F.col("k") > SMALL_BUCKET).drop("k"), "large-buckets")
+    pairs = pairs.unionByName(_rare_pairs(large, texts, n, pct)).distinct()
+    seen = compare(texts, sketches, pairs, n, pct)
     found.append(seen.where("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")))
-    discard(buckets, rest)
+    discard(buckets, rest, large)
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
@@ -447,7 +461,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, pct: int = 90, doc_id: str = "d
     copies = materialise(feats.select("key", "doc_id").join(again, "key").where("doc_id <> rep").select("key", "doc_id"), "copies")
     few = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
     reps = made.where("key IS NOT NULL AND doc_id IS NOT NULL").join(few, ["key", "doc_id"], "left_anti").select(F.col("doc_id").alias("id"), "sigs")
-    buckets = meetings(reps)
+    buckets = materialise(met(reps.select("id", F.explode("sigs").alias("sig"))), "buckets")
     del reps
     discard(made, copies)
     sketches = feats.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.col("sketch").alias("payload"))
