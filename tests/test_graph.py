@@ -92,7 +92,7 @@ def test_direction(spark):
 
 def test_service_words_in_hints_count_less(spark):
     nodes = graph(
-        spark, node("1", "http_endpoint", "assistantGeneral", "ai-tools", ["chatbot"]), node("2", "http_endpoint", "aiToolsUserSetting", "ai-tools"), node("3", "kafka_topic", "x", "falcon-beak")
+        spark, node("1", "http_endpoint", "assistantGeneral", "ai-tools", ["chatbot"]), node("2", "http_endpoint", "aiToolsUserSetting", "ai-tools"), node("3", "kafka_topic", "x", "other-service")
     )
     hints = A.effective_hints(spark.createDataFrame([(1, "ai-tools chatbot assistant general")], "hint_id bigint, hint string"), nodes)
     assert [r["id"] for r in A.find_anchors(nodes, hints).collect()] == ["1"]
