@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontamination, language_model, licenses, lines, mixing, ngram_join, quality_model, quality_rules, token_counts, warc
@@ -295,6 +296,53 @@ def test_class_bits_are_a_distribution():
     assert (2 ** bits[2::3]).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_language_model_counts_every_context(spark, monkeypatch):
+    """Odds come from the exact counts of each context in all blocks, however many there are; sizes grow with the tokens."""
+    assert language_model.sizes(1 << 26) == (12, 63) and language_model.sizes(1 << 32) == (18, 504)
+    monkeypatch.setattr(language_model, "RANGE_PAIRS", 50)
+    rng, n_bits = random.Random(3), 14
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice([0, 1, 30, 90]))) for _ in range(40)]
+    blocks = materialise(language_model.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3), 10), "b")
+    rank = np.zeros(1 << n_bits, np.int64)
+    hash_of = {w: xxhash.xxh3_64_intdigest(w) for t in texts for w in [*words(t), b""]}
+    rank[hash_of[b"w1"] % (1 << n_bits)] = 1
+    counts = collections.Counter()
+
+    def places(text):
+        w = [*words(text), b""]
+        recent = ""
+        for i, x in enumerate(w):
+            one, two = w[i - 1] if i else "", w[i - 2] if i > 1 else ""
+            recent = "w1" if one == b"w1" else recent
+            for kind, context in enumerate([one, recent, (one, two)]):
+                code = f"{hash_of[x] % (1 << n_bits):0{n_bits}b}"
+                yield from ((i, kind, j, context, code[:j], code[j]) for j in range(n_bits))
+
+    for i, t in enumerate(texts):
+        if not language_model.held_out(i, 10):
+            counts.update(((kind, j, context, node), bit) for _, kind, j, context, node, bit in places(t))
+    asked = blocks.select("block", "held", "n_tokens", "tokens", "words").mapInArrow(language_model._ask(rank, n_bits, 40, 2), language_model.ASKED)
+    answers = asked.repartition("part").sortWithinPartitions("part").mapInArrow(language_model._answer(n_bits), language_model.ANSWER).collect()
+    mixer = language_model.Mixer(np.zeros(language_model.TABLE, np.float32), None, rank, n_bits, 40)
+    seen = 0
+    for row in blocks.collect():
+        hashes, tokens, lengths = np.frombuffer(row["words"], np.uint64), language_model.unpack(row["tokens"]), language_model.unpack(row["n_tokens"])
+        found = language_model.Asked(mixer, {"answers": [a for a in answers if a["block"] == row["block"]]}, hashes, tokens, lengths)
+        for start, i in zip(np.cumsum(lengths) - lengths, row["doc_ids"], strict=True):
+            for at, kind, j, *key in places(texts[i]):
+                zero, one = (counts[(kind, j, *key[:2]), b] for b in "01")
+                assert found.odds[kind][j][found.place[kind][start + at]] == np.rint(11 * np.log((one + 0.4) / (zero + 0.4)))
+                if kind == 2:
+                    assert found.met[j][found.place[2][start + at]] == (zero + one > 0) + (zero + one > 3) + (zero + one > 40)
+                seen += 1
+    assert seen > 10_000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    small = {r["doc_id"]: r for r in language_model.score(docs).collect()}
+    monkeypatch.setattr(language_model, "GROW_FROM", 100)
+    for r in language_model.score(docs).collect():
+        assert r["base_score"] == pytest.approx(small[r["doc_id"]]["base_score"]) and r["score"] < 0
+
+
 def test_language_model_without_training(spark, none):
     assert language_model.score(none).isEmpty()
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
