@@ -43,11 +43,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops every document that holds a window of a benchmark item."""
+    """Drops every document that holds a window of a benchmark item, or all its words near each other."""
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     index = materialise(decontamination.build_index(keyed, doc_id="__key"), "index")
-    found = decontamination.search(index, table(spark, sf_dir, "benchmark"))
-    return without(keyed, found.where(F.size("items") > 0).select(F.col("doc_id").alias("__key")), "__key").select(*docs.columns)
+    found = decontamination.search(index, table(spark, sf_dir, "benchmark"), slack=decontamination.SLACK)
+    return without(keyed, found.where((F.size("items") > 0) | (F.size("near") > 0)).select(F.col("doc_id").alias("__key")), "__key").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

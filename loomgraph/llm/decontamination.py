@@ -24,6 +24,8 @@ BLOCK_WORDS = 1_000_000
 #: Items are searched in chunks of this many bytes of text; each chunk is broadcast and dropped again.
 CHUNK_BYTES = 32_000_000
 WINDOW = 10
+#: In the pipeline and op2_proximity, all words of an item within so many times its length are a match.
+SLACK = 1.5
 
 INDEX = "doc_ids array<{id}>, doc_words binary, terms binary, term_counts binary, postings binary"
 FOUND = "doc_id {id}, n_words bigint, items array<struct<item_id:{item},spans:array<struct<first:int,last:int>>>>, near array<{item}>"
@@ -269,7 +271,7 @@ def covered(items: Column) -> Column:
     )
 
 
-def digest(found: DataFrame) -> DataFrame:
+def digest(found: DataFrame, *more: Column) -> DataFrame:
     """Per document: word and hit counts, and the number and SHA-256 of the ids of its items (null ids left out)."""
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("items", lambda x: x["item_id"].cast("string")), lambda x: x.isNotNull())))
     return found.select(
@@ -279,6 +281,7 @@ def digest(found: DataFrame) -> DataFrame:
         F.size(ids).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         (F.size("items") > 0).alias("contaminated"),
+        *more,
     )
 
 
@@ -287,6 +290,13 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return digest(search(materialise(build_index(docs), "index"), benchmark))
 
 
+def scan_near(docs: DataFrame, benchmark: DataFrame, slack: float = SLACK) -> DataFrame:
+    """The digest with n_near and near_items, the number and the ids of the items whose words stand near by (null ids left out)."""
+    found = search(materialise(build_index(docs), "index"), benchmark, slack=slack)
+    near = F.array_sort(F.array_distinct(F.filter("near", lambda x: x.isNotNull())))
+    return digest(found, F.size(near).cast("bigint").alias("n_near"), near.alias("near_items"))
+
+
 def sql() -> str:
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""

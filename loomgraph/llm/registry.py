@@ -21,6 +21,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.scan_near(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_decontaminate": op2_decontaminate,
+        "op2_proximity": op2_proximity,
         "op3_license_scan": op3_license_scan,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_model": op5_quality_model,

@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontamination, language_model, licenses, lines, mixing, ngram_join, quality_model, quality_rules, token_counts, warc
+import corpus_pipeline
+from loomgraph.llm import decontamination, language_model, licenses, lines, mixing, ngram_join, quality_model, quality_rules, registry, token_counts, warc
 from loomgraph.llm.common import materialise, without
 
 DOCS = "doc_id bigint, text string, source string, lang string"
@@ -117,6 +118,19 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in found.where(F.size("near") > 0).collect()} == {1, 2}
 
 
+def test_proximity_in_query_and_pipeline(spark, tmp_path):
+    item = [f"b{i}" for i in range(12)]
+    inserted = " ".join([*item[:4], "x", *item[4:8], "y", *item[8:]])
+    swapped = " ".join([*item[:5], item[6], item[5], *item[7:]])
+    docs = spark.createDataFrame([(1, inserted), (2, f"before {swapped} after"), (3, " ".join(item)), (4, "x ".join(item)), (5, " ".join(item[:11])[3:]), (6, None)], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(item)), (8, "not there")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {r["doc_id"]: r for r in registry.queries()["op2_proximity"](spark, str(tmp_path)).collect()}
+    assert {i: r["near_items"] for i, r in out.items()} == {1: [7], 2: [7], 3: [7], 4: [], 5: [], 6: []}
+    assert {i for i, r in out.items() if r["contaminated"]} == {3, 5} and all(r["n_near"] == len(r["near_items"]) for r in out.values())
+    assert {r["doc_id"] for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()} == {4, 6}
+
+
 # 3
 
 
