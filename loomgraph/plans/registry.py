@@ -621,7 +621,7 @@ _RC = "upper(substr(r, 1, 1)) || substr(r, 2)"
 {_rows("SELECT 'svc-' || b || '::http::GET::/' || b || '/' || k || '/{id}::get' || " + O.cap('k') + ", 'http_endpoint', 'get' || " + O.cap('k') + ", 'svc-' || b, 'GET', '/' || b || '/' || k || '/{id}', NULL, 'id' FROM k",
        "SELECT DISTINCT 'svc-' || b || '::http::POST::/' || b || '::add', 'http_endpoint', 'add', 'svc-' || b, 'POST', '/' || b, NULL, '' FROM k")}""")
 def scan_http(t):
-    return _scanned(declarative.scan_http(rendered.brand_files(t.table("part"))))
+    return _scanned(parsed.scan_http(rendered.brand_files(t.table("part"))))
 
 
 @query(_rows(
@@ -647,7 +647,7 @@ def scan_fastapi(t):
     f"SELECT 'web::frontend::query::list' || {_NC}, 'frontend_query', 'list' || {_NC}, 'web', NULL, NULL, NULL, '' FROM {_NT}",
 ))
 def scan_frontend_gql(t):
-    return _scanned(declarative.scan_frontend_graphql(rendered.operation_files(t.table("nation"))))
+    return _scanned(parsed.scan_frontend_graphql(rendered.operation_files(t.table("nation"))))
 
 
 def _topic(name: str, role: str, fields: str) -> str:
@@ -724,7 +724,7 @@ def scan_ts_outbound(t):
 
 @query(_rows(f"SELECT 'cubes::cube::' || {_RC}, 'cube_query', {_RC}, 'cubes', NULL, NULL, NULL, 'count,total' || {_RC} || ',key' FROM {_RG}"))
 def scan_cube(t):
-    return _scanned(declarative.scan_cubes(rendered.cube_files(t.table("region"))))
+    return _scanned(parsed.scan_cubes(rendered.cube_files(t.table("region"))))
 
 
 _KIND = "CASE r_regionkey WHEN 0 THEN 'cube' WHEN 1 THEN 'graphql,ts_http_outbound' WHEN 2 THEN 'frontend_graphql,frontend_rest' WHEN 3 THEN 'graphql,http,kafka,backend_clients' ELSE 'fastapi' END"

@@ -17,14 +17,14 @@ from loomgraph.sources import parsed as P
 Scanner = Callable[..., DataFrame]
 SCANNERS: dict[str, Scanner] = {
     "graphql": P.scan_graphql,
-    "http": D.scan_http,
+    "http": P.scan_http,
     "fastapi": P.scan_fastapi,
     "kafka": D.scan_kafka,
-    "frontend_graphql": D.scan_frontend_graphql,
+    "frontend_graphql": P.scan_frontend_graphql,
     "frontend_rest": P.scan_frontend_rest,
     "backend_clients": P.scan_backend_clients,
     "ts_http_outbound": P.scan_ts_outbound,
-    "cube": D.scan_cubes,
+    "cube": P.scan_cubes,
 }
 
 

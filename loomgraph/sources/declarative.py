@@ -1,4 +1,4 @@
-"""Scanners that regular expressions in the JVM can express: HTTP controllers, Kafka topics, frontend GraphQL, cubes.
+"""Kafka topics: what is configured, by the lines of YAML files, joined with what code consumes and produces.
 
 A scanner takes (service, path, text) and returns scanned nodes (see schema.SCANNED).
 """
@@ -8,14 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.tokens import camel_to_kebab, path_variables
+from loomgraph.functions.tokens import camel_to_kebab
 from loomgraph.operators.dedup import priority_wins
 from loomgraph.schema import SCANNED
 from loomgraph.sources.files import file_name
-
-# Mapping annotations with their methods.
-MAPPINGS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
-
+from loomgraph.sources.parsed import kafka_uses
 
 def as_nodes(rows: DataFrame, **columns: Column) -> DataFrame:
     """Rows with the columns of a scanned node; those not given are null."""
@@ -30,35 +27,6 @@ def _lines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def scan_http(files: DataFrame) -> DataFrame:
-    """Spring and Kotlin handlers of controllers, resources, endpoints and routers, under their class's base path."""
-    named = files.where(file_name(F.col("path")).rlike(r"((Controller|Resource|Endpoint)\.(java|kt)|Router\.kt)$")).withColumn("text", _lines(F.col("text")))
-    base = F.regexp_extract("text", r"""@RequestMapping\s*\(\s*["']?([^"')\s]+)["']?\s*\)""", 1)
-    base = F.trim(F.regexp_replace(base, "^[\"'/]+|[\"'/]+$", ""))
-    argument = r"""(?:\s*\(\s*(?:value\s*=\s*)?["']([^"']*)["']\s*\)|\s*\([^)\n]*\)|\s*)"""
-    siblings = r"""\s*\n(?:\s*@\w+(?:\([^)]*\))?\s*\n)*\s*"""
-    handler = r"""(?:(?:public|private|protected|override)\s+[\w<>\[\],\s]+\s+(\w+)\s*\(|fun\s+(\w+)\s*\()"""
-    whole = "@(" + "|".join(MAPPINGS) + ")" + argument + siblings + handler
-    each = named.select("service", "path", base.alias("base"), F.explode(F.regexp_extract_all("text", F.lit(whole), 0)).alias("m"))
-    methods = F.create_map(*[F.lit(x) for kv in MAPPINGS.items() for x in kv])
-    part = F.regexp_replace(F.trim(F.regexp_extract("m", whole, 2)), "^/+", "")
-    name = F.concat(F.regexp_extract("m", whole, 3), F.regexp_extract("m", whole, 4))
-    each = each.withColumn("verb", F.element_at(methods, F.regexp_extract("m", whole, 1))).withColumn("name", name)
-    full = F.concat(F.lit("/"), F.replace(F.array_join(F.filter(F.array("base", part), lambda p: p != ""), "/"), F.lit("//"), F.lit("/")))
-    each = each.withColumn("full", full)
-    return as_nodes(
-        each,
-        id=joined(F.col("service"), "::http::", F.col("verb"), "::", F.col("full"), "::", F.col("name")),
-        type=F.lit("http_endpoint"),
-        raw_name=F.col("name"),
-        service=F.col("service"),
-        source_file=F.col("path"),
-        fields=path_variables(F.col("full")),
-        method=F.col("verb"),
-        path=F.col("full"),
-    )
-
-
 def yaml_topics(files: DataFrame) -> DataFrame:
     """(service, path, key, topic) from application*.yaml: values under a key path that has kafka.topic.
 
@@ -106,30 +74,13 @@ def resolve_properties(references: DataFrame, topics: DataFrame) -> DataFrame:
 def scan_kafka(files: DataFrame) -> DataFrame:
     """Topics configured, consumed and produced; one node per service and topic, config before produce before consume."""
     topics = yaml_topics(files)
-    code = files.where(file_name(F.col("path")).rlike(r"\.(java|kt)$") & ~F.contains("path", F.lit("src/test")))
-    heard = r"""@KafkaListener\s*\([^)]*?topics\s*=\s*(?:\[[^\]]*\]|\{[^}]*\}|"[^"]*"|\$\{[^}]+\})"""
-    calls = code.select("service", "path", F.posexplode(F.regexp_extract_all("text", F.lit(heard), 0)).alias("n", "m"))
-    refs = F.transform(F.regexp_extract_all("m", F.lit(r"\$\{([^}]+)\}"), 1), lambda r: F.struct(F.substring_index(r, ".", -1).alias("key"), F.lit(True).alias("ref")))
-    plain = F.filter(F.regexp_extract_all("m", F.lit(r'"([^"$][^"]*)"'), 1), lambda x: ~F.contains(x, F.lit("${")))
-    plain = F.transform(plain, lambda x: F.struct(x.alias("key"), F.lit(False).alias("ref")))
-    values = F.concat(refs, plain)
-    none = F.array(F.struct(F.lit("unknown").alias("key"), F.lit(False).alias("ref")))
-    each = calls.select("service", "path", "n", F.posexplode(F.when(F.size(values) > 0, values).otherwise(none)).alias("i", "v"))
-    each = each.select("service", "path", "n", "i", F.col("v.key").alias("key"), F.col("v.ref").alias("ref"))
-    consumed = resolve_properties(each, topics).select(
-        "service", "path", "n", "i", F.when(F.col("ref"), F.col("topic")).otherwise(F.col("key")).alias("topic"), F.array(F.lit("consumer")).alias("fields"), F.lit("consume").alias("role")
-    )
-    getter = r"kafkaProducer\.send\s*\(\s*kafkaTopicProperties\.get(\w+)\s*\(\)"
-    sent = code.select("service", "path", F.posexplode(F.regexp_extract_all("text", F.lit(getter), 1)).alias("n", "g"))
-    sent = sent.withColumn("key", F.concat(F.lower(F.substring("g", 1, 1)), F.substring("g", 2, 1 << 20)))
-    known = topics.groupBy("service", "key").agg(F.max_by("topic", "path").alias("t"))
-    sent = sent.join(known, ["service", "key"], "left")
-    sent = sent.select("service", "path", "n", F.lit(1 << 20).alias("i"), F.coalesce("t", camel_to_kebab(F.col("key"))).alias("topic"), F.array("key").alias("fields"), F.lit("produce").alias("role"))
-    literal = r'(?:kafkaTemplate|kafkaProducer)\.send\s*\(\s*"([^"]+)"'
-    direct = code.select("service", "path", F.posexplode(F.regexp_extract_all("text", F.lit(literal), 1)).alias("n", "topic"))
-    direct = direct.select("service", "path", "n", F.lit(1 << 21).alias("i"), "topic", F.array().cast("array<string>").alias("fields"), F.lit("produce").alias("role"))
-    set_up = topics.select("service", "path", F.lit(0).alias("n"), F.lit(0).alias("i"), "topic", F.array("key").alias("fields"), F.lit("config").alias("role"))
-    every = set_up.unionByName(consumed).unionByName(sent).unionByName(direct)
+    uses = kafka_uses(files)
+    known = topics.groupBy("service", "key").agg(F.max_by("topic", "path").alias("__t"))
+    # A listener's unknown property is its key, a producer's the key in kebab case.
+    unknown = F.when(F.col("role") == "produce", camel_to_kebab(F.col("key"))).otherwise(F.col("key"))
+    used = uses.join(known, ["service", "key"], "left").withColumn("topic", F.when(F.col("ref"), F.coalesce("__t", unknown)).otherwise(F.col("key")))
+    set_up = topics.select("service", "path", "topic", F.array("key").alias("fields"), F.lit("config").alias("role"))
+    every = set_up.unionByName(used.select("service", "path", "topic", "fields", "role"))
     nodes = as_nodes(
         every,
         id=joined(F.col("service"), "::kafka::", F.col("role"), "::", F.col("topic")),
@@ -141,49 +92,3 @@ def scan_kafka(files: DataFrame) -> DataFrame:
         method=F.col("role"),
     )
     return priority_wins(nodes.withColumn("__seq", F.struct("source_file", "id")), "__seq").drop("__seq")
-
-
-def scan_frontend_graphql(files: DataFrame) -> DataFrame:
-    """Operations in gql template literals of TypeScript files, with the fields they select first."""
-    code = files.where(file_name(F.col("path")).rlike(r"\.tsx?$") & ~F.contains("path", F.lit("node_modules")))
-    blocks = code.select("service", "path", F.explode(F.regexp_extract_all("text", F.lit("(?s)gql`(.*?)`"), 1)).alias("b"))
-    named, anonymous = r"(?i)(query|mutation|subscription)\s+(\w+)", r"(?i)(query|mutation|subscription)\s*\("
-    first = F.regexp_extract("b", r"\{[^{]*?(\w+)\s*[({]", 1)
-    bare = F.regexp_extract("b", r"\{\s*(\w+)", 1)
-    is_named, is_anonymous = F.col("b").rlike(named), F.col("b").rlike(anonymous)
-    kind = F.when(is_named, F.lower(F.regexp_extract("b", named, 1))).when(is_anonymous, F.lower(F.regexp_extract("b", anonymous, 1))).otherwise("query")
-    name = (
-        F.when(is_named, F.regexp_extract("b", named, 2))
-        .when(is_anonymous, F.when(first != "", first).otherwise("anonymous"))
-        .otherwise(F.when(bare != "", bare).otherwise("unknown"))
-    )
-    top = F.filter(F.regexp_extract_all("b", F.lit(r"(?m)^\s{4,8}(\w+)\s*[{(\n]"), 1), lambda f: ~f.isin("query", "mutation", "subscription"))
-    each = blocks.withColumn("kind", kind).withColumn("name", name)
-    return as_nodes(
-        each,
-        id=joined(F.col("service"), "::frontend::", F.col("kind"), "::", F.col("name")),
-        type=F.concat(F.lit("frontend_"), F.col("kind")),
-        raw_name=F.col("name"),
-        service=F.col("service"),
-        source_file=F.col("path"),
-        fields=top,
-    )
-
-
-def scan_cubes(files: DataFrame) -> DataFrame:
-    """cube() definitions in JavaScript files below model/, with the names of their measures and dimensions."""
-    code = files.where(F.col("path").rlike(r"(^|/)model/.*\.js$"))
-    whole = r"""(?s)cube\s*\(\s*[`'"](\w+)[`'"]\s*,\s*\{(.*?)\n\}\s*\)\s*;?"""
-    each = code.select("service", "path", F.explode(F.regexp_extract_all("text", F.lit(whole), 0)).alias("m"))
-    each = each.select("service", "path", F.regexp_extract("m", whole, 1).alias("name"), F.regexp_extract("m", whole, 2).alias("body"))
-    sections = F.regexp_extract_all("body", F.lit(r"(?s)(?:measures|dimensions)\s*:\s*\{(.*?)\n\s{2}\}"), 1)
-    names = F.flatten(F.transform(sections, lambda s: F.regexp_extract_all(s, F.lit(r"(?m)^\s{4}(\w+)\s*:\s*\{"), 1)))
-    return as_nodes(
-        each,
-        id=joined(F.col("service"), "::cube::", F.col("name")),
-        type=F.lit("cube_query"),
-        raw_name=F.col("name"),
-        service=F.col("service"),
-        source_file=F.col("path"),
-        fields=names,
-    )

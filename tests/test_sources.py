@@ -19,7 +19,7 @@ def files(spark, *rows):
 
 def test_spring_resource(spark):
     text = '@RequestMapping("/owners")\nclass A {\n@PostMapping\n@ResponseStatus(HttpStatus.CREATED)\npublic Owner createOwner(X x) {}\n@GetMapping(value = "/{ownerId}")\npublic Optional<Owner> findOwner(int id) {}\n@GetMapping\npublic List<Owner> findAll() {}\n}'
-    found = {r["raw_name"]: (r["method"], r["path"]) for r in declarative.scan_http(files(spark, ("a/OwnerResource.java", text), ("a/Owner.java", text))).collect()}
+    found = {r["raw_name"]: (r["method"], r["path"]) for r in parsed.scan_http(files(spark, ("a/OwnerResource.java", text), ("a/Owner.java", text))).collect()}
     assert found == {"createOwner": ("POST", "/owners"), "findOwner": ("GET", "/owners/{ownerId}"), "findAll": ("GET", "/owners")}
 
 
