@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -30,10 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, a local one of this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode, where it may be unset, one of this process."""
     shared = spark.conf.get("spark.checkpoint.dir", "")
     if shared:
         return shared.rstrip("/")
+    if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
@@ -57,13 +62,32 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return out
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> tuple[DataFrame, int]:
+    """As ``materialise``, hashed by a column into so many buckets: a join by it with rows repartitioned to as many leaves the table where it is.
+
+    The table's entry in the catalog goes when the driver ends, its files with the shared folder's others.
+    """
+    spark = df.sparkSession
+    buckets, path = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), scratch_path(spark, name)
+    entry = path.rpartition("/")[2].replace("-", "_")
+    df.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(buckets, column).saveAsTable(entry)
+    atexit.register(_drop, spark, entry)
+    return spark.table(entry), buckets
+
+
+def _drop(spark: SparkSession, entry: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        spark.sql(f"DROP TABLE IF EXISTS {entry}")
+
+
 def discard(*tables: DataFrame) -> None:
-    """Removes written tables that nothing reads any more, and lets Spark drop the shuffle files of plans that are gone."""
+    """Removes written tables that nothing reads any more; Spark drops the shuffle files of plans that are gone when these are collected."""
     for t in tables:
         spark = t.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     gc.collect()
+    spark = SparkSession.getActiveSession()
     spark._jvm.System.gc()
 
 
