@@ -8,11 +8,13 @@ offset-adjusted posting lists from the rarest term on.
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +23,14 @@ from loomgraph.llm.common import ALNUM_TABLE, materialise, text_bytes
 
 #: A block is closed when it has this many words; a longer document has a block of its own size.
 BLOCK_WORDS = 1_000_000
-#: Items are searched in chunks of this many bytes of text; each chunk is broadcast and dropped again.
+#: Items are searched in chunks of this many bytes of text, one after the other; each chunk is broadcast and dropped again.
 CHUNK_BYTES = 32_000_000
 WINDOW = 10
-#: In the pipeline and op2_proximity, all words of an item within so many times its length are a match.
+#: In the query and the pipeline, all words of an item within so many times its length are a match.
 SLACK = 1.5
 
-INDEX = "doc_ids array<{id}>, doc_words binary, terms binary, term_counts binary, postings binary"
-FOUND = "doc_id {id}, n_words bigint, items array<struct<item_id:{item},spans:array<struct<first:int,last:int>>>>, near array<{item}>"
+INDEX = "block bigint, doc_ids array<{id}>, doc_words binary, terms binary, term_counts binary, postings binary"
+FOUND = "block bigint, place int, doc_id {id}, n_words bigint, items array<struct<item_id:{item},spans:array<struct<first:int,last:int>>>>, near array<{item}>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -42,7 +44,7 @@ def _arrow_type(t: T.DataType) -> pa.DataType:
     return to_arrow_type(t)
 
 
-def _block(ids: list, lengths: list[int], codes: list[np.ndarray], vocabulary: dict[bytes, int], id_type: pa.DataType) -> pa.RecordBatch:
+def _block(number: int, ids: list, lengths: list[int], codes: list[np.ndarray], vocabulary: dict[bytes, int], id_type: pa.DataType) -> pa.RecordBatch:
     """Documents follow each other with one free position between them, so no phrase runs over a border."""
     counts = np.array(lengths, np.int64)
     starts = np.cumsum(counts + 1) - (counts + 1)
@@ -53,18 +55,19 @@ def _block(ids: list, lengths: list[int], codes: list[np.ndarray], vocabulary: d
     postings = at[order]
     return pa.RecordBatch.from_arrays(
         [
+            pa.array([number], pa.int64()),
             pa.array([ids], pa.list_(id_type)),
             pa.array([counts.astype(np.int32).tobytes()], pa.binary()),
             pa.array([b"\n".join(vocabulary)], pa.binary()),
             pa.array([np.bincount(code, minlength=len(vocabulary)).astype(np.int32).tobytes()], pa.binary()),
             pa.array([np.diff(postings, prepend=0).astype(np.int32).tobytes()], pa.binary()),
         ],
-        ["doc_ids", "doc_words", "terms", "term_counts", "postings"],
+        ["block", "doc_ids", "doc_words", "terms", "term_counts", "postings"],
     )
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per block of documents: their ids and word counts, the block's terms, and the postings of each term."""
+    """One row per block of documents: its number, their ids and word counts, the block's terms, and the postings of each term."""
     kind = docs.schema[doc_id].dataType
     id_type = _arrow_type(kind)
 
@@ -75,7 +78,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             return [], [], [], v
 
         ids, lengths, codes, vocabulary = fresh()
-        size = 0
+        number, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for key, body in zip(batch.column(0).to_pylist(), text_bytes(batch, 1), strict=True):
                 words = words_of(body)
@@ -84,11 +87,11 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 codes.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
                 size += len(words)
                 if size >= BLOCK_WORDS:
-                    yield _block(ids, lengths, codes, vocabulary, id_type)
+                    yield _block(number, ids, lengths, codes, vocabulary, id_type)
                     ids, lengths, codes, vocabulary = fresh()
-                    size = 0
+                    number, size = number + 1, 0
         if ids:
-            yield _block(ids, lengths, codes, vocabulary, id_type)
+            yield _block(number, ids, lengths, codes, vocabulary, id_type)
 
     return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, INDEX.format(id=kind.simpleString()))
 
@@ -218,42 +221,47 @@ def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", tex
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     schema = FOUND.format(id=id_kind.simpleString(), item=item_kind.simpleString())
 
-    def searcher(sent):
+    def searcher(sent, hits_only: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = sent.value
             for batch in batches:
                 for row in batch.to_pylist():
                     block = Block(row)
                     exact, near = search_block(block, items, window, slack)
-                    every = range(len(block.ids))
-                    hits = [[{"item_id": i, "spans": [{"first": a, "last": b} for a, b in s]} for i, s in exact.get(d, ())] for d in every]
+                    some = np.array(sorted({*exact, *near}) if hits_only else range(len(block.ids)), np.int64)
+                    hits = [[{"item_id": i, "spans": [{"first": a, "last": b} for a, b in s]} for i, s in exact.get(d, ())] for d in some.tolist()]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(block.ids, id_type),
-                            pa.array(block.words, pa.int64()),
+                            pa.array([row["block"]] * len(some), pa.int64()),
+                            pa.array(some, pa.int32()),
+                            pa.array([block.ids[d] for d in some.tolist()], id_type),
+                            pa.array(block.words[some], pa.int64()),
                             pa.array(hits, pa.list_(pa.struct([("item_id", item_type), ("spans", span_type)]))),
-                            pa.array([near.get(d, []) for d in every], pa.list_(item_type)),
+                            pa.array([near.get(d, []) for d in some.tolist()], pa.list_(item_type)),
                         ],
-                        ["doc_id", "n_words", "items", "near"],
+                        [x.split()[0] for x in ("block", "place", "doc_id", "n_words", "items", "near")],
                     )
 
         return run
 
-    parts = []
+    def found(chunk: list, hits_only: bool) -> tuple[DataFrame, Broadcast]:
+        sent = spark.sparkContext.broadcast(chunk)
+        return index.mapInArrow(searcher(sent, hits_only), schema), sent
+
     chunks = _chunks(benchmark, item_id, text)
-    ahead = next(chunks)
-    while ahead is not None:
-        chunk, ahead = ahead, next(chunks, None)
-        parts.append(index.mapInArrow(searcher(spark.sparkContext.broadcast(chunk)), schema))
-    if len(parts) == 1:
-        return parts[0]
-    # Blocks come in the same order for each chunk, so the id counts the same documents.
-    numbered = [materialise(p.withColumn("__n", F.monotonically_increasing_id()), "found") for p in parts]
-    out = numbered[0]
-    for p in numbered[1:]:
-        more = p.select("__n", F.col("items").alias("__i"), F.col("near").alias("__m"))
-        out = out.join(more, "__n").withColumns({"items": F.concat("items", "__i"), "near": F.concat("near", "__m")}).drop("__i", "__m")
-    return out.drop("__n")
+    out = found(next(chunks), False)[0]
+    more = []
+    for chunk in chunks:
+        hits, sent = found(chunk, True)
+        more.append(materialise(hits.select("block", "place", "items", "near"), "found"))
+        sent.unpersist()
+    if more:
+        # Documents that further chunks hit, by their place in the stored index.
+        each = functools.reduce(DataFrame.unionByName, more).groupBy("block", "place")
+        each = each.agg(F.flatten(F.collect_list("items")).alias("__i"), F.flatten(F.collect_list("near")).alias("__m"))
+        both = {c: F.concat(c, F.coalesce(n, F.array().cast(out.schema[c].dataType))) for c, n in (("items", "__i"), ("near", "__m"))}
+        out = out.join(each, ["block", "place"], "left").withColumns(both).drop("__i", "__m")
+    return out.drop("block", "place")
 
 
 def covered(items: Column) -> Column:
@@ -285,19 +293,15 @@ def digest(found: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The digest of documents against a benchmark, by way of a stored index."""
-    return digest(search(materialise(build_index(docs), "index"), benchmark))
-
-
-def scan_near(docs: DataFrame, benchmark: DataFrame, slack: float = SLACK) -> DataFrame:
-    """The digest with n_near and near_items, the number and the ids of the items whose words stand near by (null ids left out)."""
+def scan(docs: DataFrame, benchmark: DataFrame, slack: float = SLACK) -> DataFrame:
+    """The digest of documents against a benchmark, by way of a stored index, with the number of items whose words stand near by and the
+    SHA-256 of their ids (null ids left out)."""
     found = search(materialise(build_index(docs), "index"), benchmark, slack=slack)
-    near = F.array_sort(F.array_distinct(F.filter("near", lambda x: x.isNotNull())))
-    return digest(found, F.size(near).cast("bigint").alias("n_near"), near.alias("near_items"))
+    near = F.array_sort(F.array_distinct(F.filter(F.transform("near", lambda x: x.cast("string")), lambda x: x.isNotNull())))
+    return digest(found, F.size(near).cast("bigint").alias("n_near"), F.sha2(F.array_join(near, ","), 256).alias("near_sha256"))
 
 
-def sql() -> str:
+def sql(slack: float = SLACK) -> str:
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents),
@@ -308,7 +312,14 @@ dw AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS win
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
 m AS (SELECT doc_id, item_id, i, n FROM dw JOIN bw USING (n, win)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY 1),
-k AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::varchar, ',' ORDER BY item_id::varchar) AS ids FROM m GROUP BY 1)
+k AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::varchar, ',' ORDER BY item_id::varchar) AS ids FROM m GROUP BY 1),
+bt AS (SELECT item_id, list_distinct(w) AS t, len(w) AS size, greatest(len(w), floor({slack} * len(w)))::int AS span FROM b WHERE len(w) > 0),
+nd AS (SELECT doc_id, w, list_distinct(w) AS t FROM d),
+c AS (SELECT doc_id, item_id, w, bt.t, span FROM bt JOIN nd ON list_has_all(nd.t, bt.t)),
+cp AS (SELECT doc_id, item_id, t, span, p, w[p] AS x FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM c) WHERE list_contains(t, w[p])),
+nw AS (SELECT DISTINCT y.doc_id, y.item_id FROM (SELECT x1.doc_id, x1.item_id, x1.p, count(DISTINCT x2.x) AS n, any_value(len(x1.t)) AS want
+  FROM cp x1 JOIN cp x2 ON x1.doc_id = x2.doc_id AND x1.item_id = x2.item_id AND x2.p >= x1.p AND x2.p < x1.p + x1.span GROUP BY 1, 2, 3) y WHERE n = want),
+nk AS (SELECT doc_id, count(*) AS n_near, string_agg(item_id::varchar, ',' ORDER BY item_id::varchar) AS near FROM nw GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)"""
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near, sha256(coalesce(near, '')) AS near_sha256
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN nk USING (doc_id)"""
