@@ -1,9 +1,9 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block (line) meets a template when it holds at least a threshold of the template's
-distinct words.  Words are ordered by their global document frequency, rarest
-first; a block is a candidate only through a word of a template's prefix, and
-length and positions rule out candidates before the overlap is counted.
+A block is 128 words in a row, however they are broken into lines; blocks overlap by half, so every notice of up to 64 words
+stands whole in one.  A block meets a template when it holds at least a threshold of the template's distinct words.  Words are ordered by their global
+document frequency, rarest first; a block is a candidate only through a word of a template's prefix, and length and positions
+rule out candidates before the overlap is counted.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LOWER, UPPER
+from loomgraph.llm.common import BROADCAST_KEYS, LOWER, UPPER, materialise
 
-THRESHOLD = 0.8
+THRESHOLD = 0.9
+#: Words of a block, and of the longest template that is met wherever it stands.
+BLOCK, LONGEST = 128, 64
 #: Different words of all templates together; their frequencies come to the driver.
 MOST_TEMPLATE_WORDS = 20_000
 
@@ -31,21 +33,25 @@ PHRASES = [
 TEMPLATES = [
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("lgpl", "licensed under the gnu lesser general public license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mpl", "subject to the terms of the mozilla public license"),
 ]
 
 _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def fold(text: Column) -> Column:
@@ -62,9 +68,8 @@ def _padded(folded: Column) -> Column:
     return F.concat(F.lit(" "), F.btrim(F.regexp_replace(folded, _SEPARATOR, "  "), F.lit(" ")), F.lit(" "))
 
 
-def phrase_columns(text: Column, phrases: Sequence[tuple[str, str]]) -> dict[str, Column]:
-    """n_words, n_base, first_word, last_word and base labels (array), of the whole text."""
-    folded = fold(text)
+def phrase_columns(folded: Column, phrases: Sequence[tuple[str, str]]) -> dict[str, Column]:
+    """n_base, first_word, last_word and base labels (array), of the whole folded text."""
     rare = sorted({max(p.split(), key=len) for p, _ in phrases})
     # Only texts with the longest word of some phrase are spread out and searched.
     padded = F.when(F.regexp_like(folded, F.lit("|".join(rare))), _padded(folded)).otherwise(F.lit(" "))
@@ -80,7 +85,6 @@ def phrase_columns(text: Column, phrases: Sequence[tuple[str, str]]) -> dict[str
         labels.append(F.when(has, F.lit(label)))
     pick = (lambda f, x: f(*x)) if len(phrases) > 1 else (lambda f, x: x[0])
     return {
-        "n_words": F.regexp_count(text, F.lit(_WORD)).cast("bigint"),
         "n_base": n.cast("bigint"),
         "first_word": pick(F.least, firsts).cast("bigint"),
         "last_word": pick(F.greatest, lasts).cast("bigint"),
@@ -108,15 +112,6 @@ class TemplateIndex:
         return docs.sparkSession.createDataFrame(rows, "__r int, __i int, __label string, __t array<int>, __least int")
 
 
-def frequencies(docs: DataFrame, text: Column, words: Sequence[str]) -> dict[str, int]:
-    """How many documents hold each of the words."""
-    if len(words) > MOST_TEMPLATE_WORDS:
-        raise ValueError(f"{len(words)} template words; at most {MOST_TEMPLATE_WORDS}")
-    asked = F.array(*map(F.lit, words))
-    found = docs.select(F.explode(F.array_intersect(F.split(fold(text), _SEPARATOR), asked)).alias("w"))
-    return {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-
 def scan(
     docs: DataFrame,
     text: str = "text",
@@ -127,44 +122,48 @@ def scan(
     """``docs`` without their text, with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     n_base counts all places of the phrases, first_word and last_word are their smallest and largest start.
-    labels adds those of every template of which some line holds at least ``threshold`` of the distinct words.
+    labels adds those of every template of which some block holds at least ``threshold`` of the distinct words.
     score is the largest such share, and 1 where a phrase stands; 0 with neither.  Null counts as empty: no words,
     no labels (''), null first and last word.  Repeated rows are scanned each; an empty table gives an empty one.
     Input columns named as new ones are replaced.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    vocabulary = sorted({w for _, t in templates for w in t.split()})
+    if len(vocabulary) > MOST_TEMPLATE_WORDS or max(len(t.split()) for _, t in templates) > LONGEST:
+        raise ValueError(f"{len(vocabulary)} template words, at most {MOST_TEMPLATE_WORDS}; a template has at most {LONGEST}")
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     keep = [c for c in docs.columns if c not in (*new, text)]
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    index = TemplateIndex(templates, frequencies(docs, body, vocabulary), threshold)
-    ranks = F.create_map(*[F.lit(x) for kv in index.rank.items() for x in kv])
-    known, prefix = F.array(*map(F.lit, index.words)), F.array(*[F.lit(index.rank[w]) for w in index.prefix_words])
-    some = F.lit("|".join(index.prefix_words))
-    # Ranks of the template words in each line that has some prefix word and enough of them (length filter).
-    lines = F.filter(F.split(fold(body), "\n"), lambda x: F.regexp_like(x, some))
-    sets = F.transform(lines, lambda x: F.array_sort(F.transform(F.array_intersect(F.split(x, _SEPARATOR), known), lambda w: F.element_at(ranks, w))))
-    sets = F.filter(sets, lambda s: (F.size(s) >= index.least) & F.arrays_overlap(s, prefix))
-    base = phrase_columns(body, phrases)
-    rows = docs.select(
-        *keep, *[v.alias(k) for k, v in base.items()], F.monotonically_increasing_id().alias("__row"),
-        F.when(F.regexp_like(fold(body), some), sets).alias("__sets"),
-    )
-    blocks = rows.withColumn("__s", F.explode_outer("__sets")).drop("__sets")
-    probes = blocks.withColumn("__r", F.explode_outer(F.array_intersect("__s", prefix)))
-    joined = probes.join(F.broadcast(index.frame(docs)), "__r", "left")
+    known = F.array(*map(F.lit, vocabulary))
+    numbers = F.create_map(*[F.lit(x) for i, w in enumerate(vocabulary) for x in (w, i)])
+    number = lambda words: F.transform(F.array_intersect(words, known), lambda w: F.element_at(numbers, w))
+    least = min(math.ceil(threshold * len(set(t.split())) - 1e-9) for _, t in templates)
+
+    # One pass over the texts: each is split once; what is kept is the numbers of the template words in it, and in its blocks where they are enough.
+    folded = docs.select(*keep, fold(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("__folded"))
+    words = folded.withColumn("__words", F.array_remove(F.split("__folded", _SEPARATOR), ""))
+    rows = words.select(*keep, "__words", F.size("__words").cast("bigint").alias("n_words"), *[v.alias(k) for k, v in phrase_columns(F.col("__folded"), phrases).items()])
+    rows = rows.withColumn("__ids", number(F.col("__words")))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("__words") - 1 - BLOCK // 2) / (BLOCK // 2)).cast("int")))
+    blocks = F.filter(F.transform(starts, lambda i: number(F.slice("__words", i * (BLOCK // 2) + 1, BLOCK))), lambda b: F.size(b) >= least)
+    rows = rows.withColumn("__blocks", F.when(F.size("__ids") >= least, blocks)).drop("__words")
+    rows = materialise(rows.withColumn("__row", F.monotonically_increasing_id()), "license-words")
+
+    counted = rows.select(F.explode("__ids").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a template word
+    index = TemplateIndex(templates, {vocabulary[r["w"]]: r["n"] for r in counted}, threshold)
+    ranks, prefix = F.array(*[F.lit(index.rank[w]) for w in vocabulary]), F.array(*[F.lit(index.rank[w]) for w in index.prefix_words])
+    sets = rows.select("__row", F.explode(F.array_distinct(F.transform("__blocks", lambda b: F.array_sort(F.transform(b, lambda w: F.get(ranks, w)))))).alias("__s"))
+    probes = sets.withColumn("__r", F.explode(F.array_intersect("__s", prefix)))
+    joined = probes.join(F.broadcast(index.frame(docs)), "__r")
     left_t, left_s = F.size("__t") - F.col("__i"), F.size("__s") - F.array_position("__s", F.col("__r")) + 1
-    possible = (F.size("__s") >= F.col("__least")) & (F.least(left_t, left_s) >= F.col("__least"))
-    overlap = F.when(possible, F.size(F.array_intersect("__s", "__t")))
-    met = overlap >= F.col("__least")
-    joined = joined.withColumn("__share", F.when(met, overlap / F.size("__t"))).withColumn("__label", F.when(met, F.col("__label")))
-    carried = [*keep, *base]
-    found = joined.groupBy("__row").agg(
-        *[F.first(c).alias(c) for c in carried], F.collect_set("__label").alias("__more"), F.max("__share").alias("__best")
-    )
-    return found.select(
+    possible = joined.where((F.size("__s") >= F.col("__least")) & (F.least(left_t, left_s) >= F.col("__least")))
+    met = possible.withColumn("__overlap", F.size(F.array_intersect("__s", "__t"))).where(F.col("__overlap") >= F.col("__least"))
+    found = met.groupBy("__row").agg(F.collect_set("__label").alias("__more"), F.max(F.col("__overlap") / F.size("__t")).alias("__best"))
+    found = materialise(found, "licenses")
+    out = rows.join(F.broadcast(found) if found.count() <= BROADCAST_KEYS else found, "__row", "left")
+    more = F.coalesce("__more", F.array().cast("array<string>"))
+    return out.select(
         *keep, "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort(F.array_distinct("__base")), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("__base", "__more")), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_union("__base", more)), ",").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("__best", F.lit(0.0))).alias("score"),
     )
 
@@ -180,7 +179,7 @@ w AS (SELECT doc_id, regexp_extract_all(x, {pattern}) AS w FROM d),
 ph AS ({phrases}), te AS ({templates}),
 pl AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, p, label, unnest(range(len(w))) AS i FROM w, ph WHERE list_contains(w, p[1])) WHERE w[i + 1 : i + len(p)] = p),
 b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM pl GROUP BY 1),
-l AS (SELECT doc_id, regexp_extract_all(line, {pattern}) AS s FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM d)),
+l AS (SELECT doc_id, w[i * {BLOCK // 2} + 1 : i * {BLOCK // 2} + {BLOCK}] AS s FROM (SELECT doc_id, w, unnest(range(greatest(1, ceil((len(w) - {BLOCK // 2}) / {BLOCK // 2}::double)::int))) AS i FROM w)),
 m AS (SELECT doc_id, label, len(list_intersect(s, t)) / len(t)::double AS share FROM l, te WHERE len(list_intersect(s, t)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
 k AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS best FROM m GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
