@@ -8,6 +8,7 @@ a document's table entries, found by binning.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import crc_bucket, text_bytes
 
-#: At most this many labelled rows, those with the smallest hashes, are taken to fit the tables.
+#: At most this many labelled documents, those with the smallest hashes, are taken to fit the tables.
 SAMPLE_ROWS = 30_000
 THRESHOLD = 0.3
 
@@ -58,7 +59,7 @@ def features_of(body: bytes) -> list[float]:
     letters = max(1, count["upper"] + count["lower"] + count["beyond"])
     lengths = np.fromiter(map(len, words), np.int64, n)
     lowered = body.lower().split()
-    distinct = len(set(lowered))
+    sizes = np.fromiter(Counter(lowered).values(), np.int64)
     lines = [x for x in body.split(b"\n") if x.strip()]
     per_line = np.array([x.count(b" ") + 1 for x in lines])
     # Words with a mark or bar, over the text and in its worst stretch of 32 words.
@@ -70,15 +71,12 @@ def features_of(body: bytes) -> list[float]:
     run = np.concatenate([[0], np.cumsum(with_odd)])
     k = min(32, len(with_odd))
     capital = sum(1 for w in words if w.isupper())
-    ordered = np.sort(np.fromiter(map(hash_word, lowered), np.int64, n))
-    edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
-    sizes = np.diff(edge)
     return [
         np.log1p(n),
         lengths.mean(),
         (lengths > 12).mean(),
         (lengths <= 3).mean(),
-        distinct / n,
+        len(sizes) / n,
         (sizes == 1).sum() / n,
         count["upper"] / letters,
         count["digit"] / n,
@@ -102,11 +100,6 @@ def features_of(body: bytes) -> list[float]:
     ]
 
 
-def hash_word(word: bytes) -> int:
-    """Equal words have equal numbers, in any process; only repeats are counted, so a clash of two words hardly matters."""
-    return int.from_bytes(word[:7], "little") * 31 + len(word) * 1_000_003 + int.from_bytes(word[-4:], "little") if len(word) < 256 else len(word)
-
-
 @dataclass
 class AdditiveModel:
     """Lookup tables: one for each feature over its bins, one for each chosen pair over coarse bins."""
@@ -208,18 +201,20 @@ def _cut_gain(g: np.ndarray, h: np.ndarray, i: int) -> float:
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features_of(x) for x in text_bytes(batch, 0)]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["id", "y", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE_ROWS, folds: int = 5) -> AdditiveModel:
-    """Fits on labelled rows whose crc32(doc_id as text) mod ``folds`` is not 0, at most ``sample`` of them, chosen by the hash of the id.
+    """Fits on labelled documents whose crc32(doc_id as text) mod ``folds`` is not 0, at most ``sample`` of them, chosen by the hash of the id.
 
-    Only ids and labels of the sample, then its features, come to the driver; rows with null ids or labels are left out.
+    Only ids and labels of the sample, then its features, come to the driver; rows with null ids or labels are left out.  An id
+    with several labels has the smallest of them, one with several texts the smallest features.
     """
     used = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (crc_bucket(F.col(doc_id), folds) != 0))
-    used = used.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("__id"), "__id", "y").limit(sample)
-    joined = docs.select(F.col(doc_id).alias("__d"), F.col(text).cast("string").alias("__text")).join(F.broadcast(used), F.col("__d") == F.col("__id"))
-    rows = joined.select("__text", "y").mapInArrow(_features, "y int, x array<double>").limit(4 * sample).toArrow()
+    used = used.groupBy(F.col(doc_id).cast("string").alias("__id")).agg(F.min(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    joined = docs.select(F.col(doc_id).cast("string").alias("__d"), F.col(text).cast("string").alias("__text")).join(F.broadcast(used), F.col("__d") == F.col("__id"))
+    made = joined.select("__text", "__id", "y").mapInArrow(_features, "id string, y int, x array<double>")
+    rows = made.groupBy("id").agg(F.min(F.struct("x", "y")).alias("r")).select("r.x", "r.y").toArrow()
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     y = rows["y"].to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # rows come in any order; sums must not depend on it
