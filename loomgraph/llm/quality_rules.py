@@ -1,51 +1,38 @@
 """Quality rules by tokeniser fertility.
 
-A public vocabulary measures each whole text: characters per token, the share
-of byte-fallback tokens and the entropy of its tokens.  A text is rejected where
-a measure leaves the band of its language, or of its script where the language
-has none, or where one of two base rules fails.
+A public vocabulary measures each whole text: characters per token, the share of byte-fallback tokens and the entropy of its
+tokens.  What is normal is learned from all documents: each language, or script where a language is rare, has a band around the
+middle half of its texts of like length, as short texts vary more and have fewer repeated tokens.  A text is rejected where a measure
+leaves its band, or where one of two base rules fails.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import text_bytes
+from loomgraph.llm.common import materialise, text_bytes
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 #: A worker keeps the pieces of so many different words before it starts anew.
 CACHED_WORDS = 400_000
 LEAST_WORDS, MOST_REPEATED = 10, 20
+#: Bands, which go to the executors.
+MOST_GROUPS = 100_000
 
-MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, script string"
+#: Texts of like length (by doublings of the tokens) that a language or script needs for a band of its own.
+LEAST_TEXTS = 50
+#: A band ends so many widths of the middle half of a group's texts beyond it; the middle half counts as so wide at least.
+FENCE = 2.0
+#: What is measured: by which side of the band texts are rejected, the least width, and the step to which it is rounded when counted.
+RULES = {"chars_per_token": ("both", 0.04, 0.005), "byte_share": ("high", 0.005, 0.001), "entropy_share": ("low", 0.02, 0.001)}
 
-
-@dataclass(frozen=True)
-class Band:
-    """What a text may measure; entropy counts in shares of the highest that its number of tokens allows."""
-
-    chars_low: float
-    chars_high: float
-    byte_most: float
-    entropy_low: float
-
-
-#: By language, then by script.  Wide: they are meant for text that a tokeniser breaks to pieces or that says one thing over and over.
-BANDS: dict[str, Band] = {
-    "en": Band(1.4, 7.0, 0.05, 0.45),
-    "de": Band(1.25, 7.0, 0.05, 0.45),
-    "fr": Band(1.35, 7.0, 0.05, 0.45),
-    "es": Band(1.3, 7.0, 0.05, 0.45),
-    "Latin": Band(1.2, 8.0, 0.1, 0.45),
-    "Other": Band(0.25, 8.0, 0.8, 0.3),
-}
+MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double, entropy_share double, script string"
 
 
 class Pieces:
@@ -110,13 +97,20 @@ def repeated_words(words: list[bytes], window: int = 5) -> int:
     return int((np.cumsum(steps)[:n] > 0).sum())
 
 
+#: Scripts by the first byte of their letters in UTF-8, up to and with the byte given; ASCII letters are Latin.
+_SCRIPTS = [(0xC2, ""), (0xCA, "Latin"), (0xCC, ""), (0xCF, "Greek"), (0xD4, "Cyrillic"), (0xD6, ""), (0xD7, "Hebrew"), (0xDB, "Arabic"), (0xDF, ""), (0xE0, "Indic"), (0xE2, ""), (0xE9, "Han"), (0xED, "Hangul"), (0xFF, "")]
+_NAMES = ["", *sorted({n for _, n in _SCRIPTS if n})]
+_SCRIPT_OF = np.zeros(256, np.int64)
+_SCRIPT_OF[[b for b in range(128) if chr(b).isalpha()]] = _NAMES.index("Latin")
+for _low, (_high, _name) in zip([0x7F, *[h for h, _ in _SCRIPTS]], _SCRIPTS, strict=False):
+    _SCRIPT_OF[_low + 1 : _high + 1] = _NAMES.index(_name)
+_SCRIPT_OF[0x80:0xC0] = 0
+
+
 def _script(body: bytes) -> str:
-    """Latin where most letters are ASCII or of the Latin blocks, which start with the bytes C3 to CA."""
-    codes = np.frombuffer(body, np.uint8)
-    high = codes >= 0xC3
-    latin = ((codes | 32) >= 97) & ((codes | 32) <= 122) | (high & (codes <= 0xCA))
-    beyond = codes > 0xCA
-    return "Other" if beyond.sum() > latin.sum() else "Latin"
+    """The script of most letters, the first by name of those with as many; '' without letters of any known one."""
+    found = np.bincount(_SCRIPT_OF[np.frombuffer(body, np.uint8)], minlength=len(_NAMES))[1:]
+    return _NAMES[1 + int(found.argmax())] if found.any() else ""
 
 
 def measure(body: bytes, pieces: Pieces) -> tuple:
@@ -133,42 +127,55 @@ def measure(body: bytes, pieces: Pieces) -> tuple:
         byte_share = float(pieces.is_byte[tokens].mean())
     return (
         len(words), chars, len(body) - len(body.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words),
-        n, chars / n if n else 0.0, byte_share, entropy, _script(body),
+        n, chars / n if n else 0.0, byte_share, entropy, entropy / np.log2(n) if n > 1 else 1.0, _script(body),
     )
 
 
-def within(lang: Column, bands: Mapping[str, Band]) -> Column:
-    """Whether the measures keep to the band of the language, or else of the script."""
-    highest = F.log2(F.greatest(F.col("n_tokens"), F.lit(2)))
+def _length() -> Column:
+    return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")
 
-    def holds(b: Band) -> Column:
-        return (
-            F.col("chars_per_token").between(b.chars_low, b.chars_high)
-            & (F.col("byte_share") <= b.byte_most)
-            & (F.col("token_entropy") >= b.entropy_low * highest)
-        )
 
-    scripts = ("Latin", "Other")
-    out = F.when((F.col("script") == "Other"), holds(bands["Other"]))
-    for name, band in bands.items():
-        if name not in scripts:
-            out = out.when(lang == name, holds(band))
-    return out.otherwise(holds(bands["Latin"]))
+def bands(measured: DataFrame, lang: str = "lang", least_texts: int = LEAST_TEXTS, fence: float = FENCE) -> DataFrame:
+    """(kind, name, length, measure, low, high) for each language and script, by doublings of the tokens, with ``least_texts`` texts or more that pass the base rules.
 
-
-def apply_rules(docs: DataFrame, model_file: str | None = None, bands: Mapping[str, Band] = BANDS, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with the measures of each whole text, base_failed and kept; no row goes.
+    Quartiles come from counts of rounded values over all such texts, so they are exact to the rounding, and a group's
+    values are never gathered: there are a few thousand at most of any measure.
+    """
+    groups = F.array(F.struct(F.lit("lang").alias("kind"), F.col(lang).cast("string").alias("name")), F.struct(F.lit("script").alias("kind"), F.col("script").alias("name")))
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) / step).cast("bigint").alias("v")) for m, (_, _, step) in RULES.items()])
+    each = measured.where(~F.col("base_failed")).select(F.explode(groups).alias("g"), _length().alias("length"), values.alias("m")).where("g.name IS NOT NULL")
+    counted = each.select("g.kind", "g.name", "length", F.explode("m").alias("m")).groupBy("kind", "name", "length", "m.measure", "m.v").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("kind", "name", "length", "measure")
+    placed = counted.withColumn("upto", F.sum("n").over(own.orderBy("v"))).withColumn("all", F.sum("n").over(own)).where(F.col("all") >= least_texts)
+    # The quartile is the smallest value up to which a quarter, or three, of the texts lie.
+    quarter = [F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("v"))).alias(f"q{k}") for k in (1, 3)]
+    found = placed.groupBy("kind", "name", "length", "measure").agg(*quarter)
+    out = None
+    for m, (side, width, step) in RULES.items():
+        far = F.greatest((F.col("q3") - F.col("q1")) * step, F.lit(width)) * fence
+        low = F.lit(None).cast("double") if side == "high" else F.round(F.col("q1") * step - far, 6)
+        high = F.lit(None).cast("double") if side == "low" else F.round(F.col("q3") * step + far, 6)
+        part = found.where(F.col("measure") == m).select("kind", "name", "length", "measure", low.alias("low"), high.alias("high"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def apply_rules(docs: DataFrame, model_file: str | None = None, text: str = "text", lang: str = "lang", least_texts: int = LEAST_TEXTS, fence: float = FENCE) -> DataFrame:
+    """``docs`` without their text, with the measures of each whole text, base_failed, band_failed and kept; no row goes.
 
     ``model_file`` is a SentencePiece model that the executors can open; by default that of the installed
     public vocabularies.  Null and empty texts have no words and measures of 0, so base_failed is true for
-    them; a null or unlisted language has the band of the script.  A text in another script than Latin has
-    that script's band whatever its language.  Input columns named as new ones are replaced.
+    them.  band_failed names the measures that leave the band, comma-joined; the band is that of the language, or of the script where the language
+    is null or has fewer than ``least_texts`` texts of like length; where the script has too, nothing is rejected by measure.  entropy_share is the
+    entropy as a share of the highest that the number of tokens allows, 1 below two tokens.  Input columns named as new ones are
+    replaced; an empty table gives an empty one.
     """
     new = [x.split()[0] for x in MEASURES.split(", ")]
-    columns = [c for c in docs.columns if c not in (*new, "base_failed", "kept")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", " + MEASURES
+    columns = [c for c in docs.columns if c not in (*new, "base_failed", "band_failed", "kept")]
+    keep = [c for c in columns if c != text]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     at = columns.index(text)
-    kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()]
+    kinds = [pa.int64()] * 6 + [pa.float64()] * 4 + [pa.string()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model_file is None:
@@ -180,8 +187,22 @@ def apply_rules(docs: DataFrame, model_file: str | None = None, bands: Mapping[s
         for batch in batches:
             rows = [measure(x, pieces) for x in text_bytes(batch, at)]
             made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*[batch.column(columns.index(c)) for c in keep], *made], [*keep, *new])
 
-    out = docs.select(*columns).mapInArrow(run, schema)
+    out = docs.select(*columns).mapInArrow(run, ", ".join(x for x in (schema, MEASURES) if x))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(within(F.col(lang), bands), F.lit(False)))
+    out = materialise(out.withColumn("base_failed", failed), "measures")
+    found = bands(out, lang, least_texts, fence).groupBy("kind", "name", "length").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high")))).alias("__band"))
+    for kind, column in (("lang", lang), ("script", "script")):
+        part = found.where(F.col("kind") == kind).select(F.col("name").alias(f"__{kind}"), F.col("length").alias("__length"), F.col("__band").alias(f"__of_{kind}"))
+        if part.count() > MOST_GROUPS:
+            raise ValueError(f"more than {MOST_GROUPS} bands by {kind}")
+        same = (F.col(column).cast("string") == F.col(f"__{kind}")) & (_length() == F.col("__length"))
+        out = out.join(F.broadcast(part), same, "left").drop("__length")
+    band = F.coalesce("__of_lang", "__of_script")
+    left = []
+    for m in RULES:
+        low, high = band[m]["low"], band[m]["high"]
+        left.append(F.when(F.coalesce(F.col(m) < low, F.lit(False)) | F.coalesce(F.col(m) > high, F.lit(False)), F.lit(m)))
+    out = out.withColumn("band_failed", F.when(F.col("n_tokens") > 0, F.concat_ws(",", *left)).otherwise(""))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("band_failed") == "")).drop("__lang", "__of_lang", "__script", "__of_script")
