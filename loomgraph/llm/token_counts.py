@@ -18,6 +18,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import materialise
+
 #: Pre-tokens of a leaf; a leaf of more than twice as many is split.
 LEAF = 64
 #: Characters after its end that may decide where a pre-token ends: a blank and what follows it, or the two letters of a contraction.
@@ -220,24 +222,17 @@ def _apply(tree: PreTokenTree, body: str, todo: list | None, encoder: Encoder) -
 
 
 def count_edited(docs: DataFrame, edits: str = "edits", text: str = "text", ranks_file: str | None = None) -> DataFrame:
-    """``docs`` without text and edits, with the counts before and after all edits: builds each tree, applies the edits and drops it.
+    """``docs`` without text and edits, with the counts before and after all edits: stores the texts with their trees and updates what is stored.
 
     New columns: n_pretokens and n_tokens of the text, n_tokens_after and n_encoded of the edits.  Null and empty texts
     have no tokens and take insertions; every row stays.
     """
-
-    def make():
-        encoder = Encoder(ranks_file)
-
-        def step(body, todo):
-            tree = encoder.tree(body or "")
-            before, size = tree.n_tokens, sum(len(x[0]) for x in tree.leaves)
-            _, n = _apply(tree, body or "", todo, encoder)
-            return size, before, tree.n_tokens, n
-
-        return step
-
-    return _mapped(docs, [text, edits], "n_pretokens bigint, n_tokens bigint, n_tokens_after bigint, n_encoded bigint", make).drop(text, edits)
+    new = ("n_pretokens", "n_tokens", "n_tokens_after", "n_encoded")
+    keep = [c for c in docs.columns if c not in (*new, text, edits)]
+    stored = materialise(build_trees(docs.select(*[c for c in docs.columns if c not in new]), text, ranks_file), "trees")
+    known = stored.withColumns({"n_pretokens": F.size("tree_lengths").cast("bigint"), "__n": F.col("n_tokens")})
+    done = update_trees(known, edits, text, ranks_file)
+    return done.select(*keep, "n_pretokens", F.col("__n").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), "n_encoded")
 
 
 #: What the query's three edits insert.
