@@ -1,15 +1,15 @@
 """WARC archives: written from pages, read back, and their capture index merged.
 
-Each archive file read gives a run of captures sorted by URL key and time.  The
-runs are dealt to ranges of the key and merged there by a loser tree, so that the
-ranges one after the other hold the history of every URL in order.
+Every record is a gzip member of its own, so that a reader can start at any offset of the index.  Each archive file
+read gives a run of captures sorted by URL key and time.  The runs are dealt to ranges of the key and merged there by a
+loser tree, so that the ranges one after the other hold the history of every URL in order.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import io
+import itertools
+import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialise, scratch_path
+from loomgraph.llm.common import BROADCAST_KEYS, materialise, scratch_path
 
 CRLF = "\r\n"
 #: Payloads under this many bytes are always stored.
 LEAST_REVISIT = 100
-#: Records of a file; a reader holds one compressed file and one record at a time.
-FILE_RECORDS = 2000
+#: A file is closed when it has this many compressed bytes; a longer record has a file of its own size.  A reader holds one
+#: compressed file and one record at a time.
+FILE_BYTES = 32_000_000
 #: Captures that one range of the merged index should hold.
 RANGE_CAPTURES = 500_000
 ID = "urn:capture:"
@@ -38,14 +39,18 @@ _KEY = ("url_key", "captured", "page_id")
 def with_revisits(pages: DataFrame, payload: Column, page_id: str) -> DataFrame:
     """``pages`` with __body, __bytes, __digest and __first: the id of the equal payload that is stored, null if it is this one.
 
-    Only groups of two or more are joined back, and by their digests, so unequal pages move once at most.
+    Which pages are revisits is found from ids and digests alone and joined back by both; while these are few, no body moves.
     """
     body = pages.withColumn("__body", F.coalesce(payload.cast("string"), F.lit("")))
     body = body.withColumn("__bytes", F.octet_length("__body").cast("bigint")).withColumn("__digest", F.sha2(F.col("__body").cast("binary"), 256))
-    groups = body.where(F.col("__bytes") >= LEAST_REVISIT).groupBy(F.col("__digest").alias("__d"))
-    first = groups.agg(F.min(page_id).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    joined = body.join(first, (F.col("__digest") == F.col("__d")) & (F.col("__bytes") >= LEAST_REVISIT), "left")
-    return joined.withColumn("__first", F.when(~F.col("__first").eqNullSafe(F.col(page_id)), F.col("__first"))).drop("__d")
+    marks = materialise(body.where(F.col("__bytes") >= LEAST_REVISIT).select(F.col(page_id).alias("__p"), F.unhex("__digest").alias("__d")), "digests")
+    first = marks.groupBy("__d").agg(F.min("__p").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    again = marks.join(first, "__d").where(~F.col("__first").eqNullSafe(F.col("__p"))).distinct()
+    again = materialise(again.withColumn("__d", F.lower(F.hex("__d"))), "revisits")
+    found = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
+    # A null id joins as the empty text; ids are numbers.
+    same = (F.coalesce(F.col(page_id).cast("string"), F.lit("")) == F.coalesce(F.col("__p").cast("string"), F.lit(""))) & (F.col("__digest") == F.col("__d"))
+    return body.join(found, same, "left").drop("__d", "__p")
 
 
 def record(url: Column, page_id: Column, captured: Column) -> Column:
@@ -85,11 +90,38 @@ def write_archive(
     path = path or scratch_path(pages.sparkSession, "warc")
     when = F.col(captured) if captured else F.timestamp_seconds(F.coalesce(F.col(page_id), F.lit(0)) + F.lit(1_704_067_200))
     rows = with_revisits(pages, F.col(payload), page_id)
-    made = rows.select(record(F.col(url), F.col(page_id), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("value"))
-    made.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    made = rows.select(record(F.col(url), F.col(page_id), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'")).cast("binary").alias("value"))
+    # One row is one file, written as it is; Spark's text files end each row with a separator, here the member without content.
+    files = made.mapInArrow(_members(FILE_BYTES), "value binary").select(F.col("value").cast("string").alias("value"))
+    options = {"lineSep": _member(b"").decode("latin-1"), "encoding": "ISO-8859-1", "compression": "none", "maxRecordsPerFile": 1}
+    files.write.options(**options).text(path)
     return path
 
 
+def _member(content: bytes) -> bytes:
+    """A gzip member that names no time, so that equal records are equal members."""
+    made = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return made.compress(content) + made.flush()
+
+
+def _members(size: int):
+    """Records as gzip members, put together to files of about so many bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held.append(_member(batch.column(0)[i].as_py() + CRLF.encode() * 2))
+                n += len(held[-1])
+                if n >= size:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+
+    return run
+
+
 def url_key(url: str) -> str:
     """The URL with its host's labels turned round and without scheme, www, fragment and default port; parameters are sorted."""
     try:
@@ -102,24 +134,40 @@ def url_key(url: str) -> str:
     return f"{site}){parts.path or '/'}" + (f"?{query}" if query else "")
 
 
+def members(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """Offset and content of each gzip member of a file, one by one; those without content are passed over."""
+    at, view = 0, memoryview(content)
+    while at < len(content):
+        reader, parts, start = zlib.decompressobj(31), [], at
+        while not reader.eof:
+            if at == len(content):
+                raise ValueError(f"the member at byte {start} is cut short")
+            part = view[at : at + 65536]
+            parts.append(reader.decompress(part))
+            at += len(part) - len(reader.unused_data)
+        if any(parts):
+            yield start, b"".join(parts)
+
+
 def records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, fields and block of each record of a gzipped archive file, read one by one."""
-    with gzip.GzipFile(fileobj=io.BytesIO(content)) as f:
-        while True:
-            offset, line = f.tell(), f.readline()
-            if not line:
-                return
-            if not line.startswith(b"WARC/1."):
-                raise ValueError(f"no WARC record at byte {offset}: {line[:40]!r}")
+    """Offset, fields and block of each record of a gzipped archive file, read one by one; the offset is that of the record's member."""
+    for offset, whole in members(content):
+        at = 0
+        while at < len(whole):
+            end = whole.find(b"\r\n\r\n", at)
+            head = whole[at : max(at, end)].split(b"\r\n")
+            if not head[0].startswith(b"WARC/1.") or end < 0:
+                raise ValueError(f"no WARC record at byte {offset}: {whole[at : at + 40]!r}")
             fields = {}
-            while (line := f.readline()) not in (b"\r\n", b""):
+            for line in head[1:]:
                 name, _, value = line.decode("utf-8").partition(":")
                 fields[name.lower()] = value.strip()
-            size = int(fields["content-length"])
-            block = f.read(size)
-            if len(block) != size or f.read(4) != b"\r\n\r\n":
+            start, size = end + 4, int(fields["content-length"])
+            block = whole[start : start + size]
+            if len(block) != size or whole[start + size : start + size + 4] != b"\r\n\r\n":
                 raise ValueError(f"the record at byte {offset} is cut short")
             yield offset, fields, block
+            at = start + size + 4
 
 
 def _number(urn: str) -> int | None:
@@ -198,22 +246,25 @@ class LoserTree:
             self._play(at)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a range come run by run; each run is sorted."""
-    runs: dict[str, list[pa.RecordBatch]] = {}
+    """Merges a range's rows.  They come as the runs had them, so each stretch in which they ascend is a run."""
+    runs: list[list[pa.RecordBatch]] = []
+    last = None
     for batch in batches:
-        names = batch.column(0)
-        edges = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
-        for a, b in zip(edges, edges[1:], strict=False):
-            if b > a:
-                runs.setdefault(names[a].as_py(), []).append(batch.slice(a, b - a))
-
-    def rows(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
-        for part in parts:
-            yield from zip(*[c.to_pylist() for c in part.columns], strict=True)
+        ranks = list(map(_rank, _rows(batch)))
+        cuts = [i for i in range(1, len(ranks)) if ranks[i] < ranks[i - 1]]
+        for a, b in zip([0, *cuts], [*cuts, len(ranks)], strict=True):
+            if last is None or ranks[a] < last:
+                runs.append([])
+            runs[-1].append(batch.slice(a, b - a))
+            last = ranks[b - 1]
 
     out: list[tuple] = []
-    for row in LoserTree([rows(x) for x in runs.values()]):
+    for row in LoserTree([itertools.chain.from_iterable(map(_rows, x)) for x in runs]):
         out.append(row)
         if len(out) == 10_000:
             yield _batch(out)
@@ -225,13 +276,14 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merge_runs(captures: DataFrame) -> DataFrame:
     """All captures ordered by URL key, time and id: partition after partition, and within each.
 
-    The ranges also cut by time and id, so a URL with very many captures spans several.  Each run's rows of a range
-    stay sorted and are merged by the loser tree; a task holds its range's rows and no payload.
+    The ranges also cut by time and id, so a URL with very many captures spans several.  Spark deals the rows to ranges
+    and sorts nothing: each run's rows of a range come in the run's order and are merged by the loser tree.  A task
+    holds its range's rows and no payload.
     """
     runs = materialise(captures, "capture-runs")
     ranges = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_CAPTURES))
     order = [F.col(c).asc_nulls_first() for c in _KEY]
-    dealt = runs.repartitionByRange(ranges, *order).sortWithinPartitions("run", *order, "offset")
+    dealt = runs.repartitionByRange(ranges, *order)
     return dealt.mapInArrow(_merge, CAPTURE)
 
 
