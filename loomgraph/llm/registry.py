@@ -14,17 +14,13 @@ from loomgraph.llm.common import crc_bucket, table
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mixing.mix(docs, mixing.document_dims(docs), mixing.n_words(docs["text"]))
-    return out.select("doc_id", "mix_tokens", "mix_rate", "mix_copies")
+    return out.select("doc_id", "mix_tokens", "mix_rate", "mix_copies", "mix_error")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def op2_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.scan_near(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -43,7 +39,7 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return out.drop("text", "lang")
+    return out.drop("lang")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +65,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_decontaminate": op2_decontaminate,
-        "op2_proximity": op2_proximity,
         "op3_license_scan": op3_license_scan,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_model": op5_quality_model,
