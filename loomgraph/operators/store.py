@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from loomgraph import schema
 from loomgraph.operators.dedup import last_wins
+from loomgraph.operators.stats import stale
 
 TABLES = {"nodes": schema.NODE, "edges": schema.EDGE, "token_idf": schema.TOKEN_IDF, "repo_state": schema.REPO_STATE, "feedback": schema.FEEDBACK, "clusters": schema.CLUSTER}
 
@@ -78,9 +79,19 @@ class GraphStore:
         self.overwrite("nodes", last_wins(both, ["id"], seq))
 
     def replace_services(self, rows: DataFrame, services: Collection[str]) -> None:
-        """Puts new nodes in the place of all nodes of the services."""
-        kept = self.read("nodes").where(~F.col("service").isin(list(services)) if services else F.lit(True))
-        self.overwrite("nodes", kept.unionByName(conform(rows, schema.NODE)))
+        """Puts new nodes in the place of all nodes of the services; nodes without a service stay."""
+        gone = F.coalesce(F.col("service").isin(list(services)), F.lit(False)) if services else F.lit(False)
+        self.overwrite("nodes", self.read("nodes").where(~gone).unionByName(conform(rows, schema.NODE)))
+
+    def clear_edges(self) -> None:
+        self.overwrite("edges", self.spark.createDataFrame([], schema.EDGE))
+
+    def clear_clusters(self) -> None:
+        self.overwrite("clusters", self.spark.createDataFrame([], schema.CLUSTER))
+
+    def insert_clusters(self, rows: DataFrame) -> None:
+        """Adds clusters to those that are stored."""
+        self.overwrite("clusters", self.read("clusters").unionByName(conform(rows, schema.CLUSTER)))
 
     def upsert_state(self, rows: DataFrame) -> None:
         new = conform(rows, schema.REPO_STATE)
@@ -101,11 +112,14 @@ class GraphStore:
         out.write(bytearray(json.dumps({"config_path": config_path}).encode()))
         out.close()
 
-    def diagnose(self) -> list[str]:
-        """What keeps the index from being used."""
+    def diagnose(self, as_of=None) -> list[str]:
+        """What keeps the index from being used, or makes its answers old."""
         if not self.exists("nodes"):
             return ["no index: scan first"]
-        return ["the index has no nodes: check the configuration"] if self.read("nodes").isEmpty() else []
+        if self.read("nodes").isEmpty():
+            return ["the index has no nodes: check the configuration"]
+        warning = stale(self.read("repo_state"), as_of).first()["warning"] if as_of is not None else None
+        return [warning] if warning else []
 
 
 def without_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from loomgraph.plans import evaluate as E
-from loomgraph.plans.engine import Engine
+from loomgraph.plans.engine import Engine, rendered
 from loomgraph.sources.config import ConfigError, load_config, load_judgments, validate_config
 
 
@@ -21,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     todo = out.add_subparsers(dest="command", required=True)
     for name, arguments in {
         "scan": [("config", {}), ("--force", {"action": "store_true"})],
-        "query": [("hint", {}), ("--top", {"type": int, "default": 5})],
+        "query": [("hint", {}), ("--top", {"type": int, "default": 5}), ("--json", {"action": "store_true"})],
         "expand": [("name", {})],
         "eval": [("judgments", {}), ("--top", {"type": int, "default": 5}), ("--min-hit-rate", {"type": float}), ("--min-mrr", {"type": float})],
         "stats": [],
@@ -46,9 +46,15 @@ def main(argv: list[str] | None = None) -> int:
     engine, now = Engine(spark, args.store), dt.datetime.now(dt.UTC)
     try:
         if args.command == "scan":
-            print("\n".join(engine.scan(load_config(args.config), now, args.force)))
+            engine.scan(load_config(args.config), now, args.force)
+            for what in ("read", "reused", "dropped", "missing"):
+                for name in getattr(engine.report, what):
+                    print(f"{what}: {name}")
+            print("\n".join(engine.report.warnings + engine.store.diagnose()), file=sys.stderr)
+            return int(bool(engine.store.diagnose()))
         elif args.command == "query":
-            _show(engine.query(spark.createDataFrame([(0, args.hint)], "hint_id bigint, hint string"), args.top, now).orderBy("rank"))
+            answer = engine.ask(args.hint, now, args.top)
+            print(json.dumps(answer) if args.json else rendered(answer))
         elif args.command == "expand":
             _show(engine.expand(spark.createDataFrame([(args.name,)], "name string")).orderBy("source_id", "rank"))
         elif args.command == "stats":
@@ -57,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
             scores = E.gate(E.metrics(engine.evaluate(load_judgments(spark, args.judgments), args.top)), args.min_hit_rate, args.min_mrr)
             _show(scores)
             return int(not scores.first()["passed"])
-    except ConfigError as e:
+    except (ConfigError, OSError) as e:
         print(e, file=sys.stderr)
         return 2
     return 0

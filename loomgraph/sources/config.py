@@ -5,14 +5,17 @@ from __future__ import annotations
 import importlib
 import json
 import os
+from collections import Counter
 from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph import schema
 from loomgraph.sources import declarative as D
 from loomgraph.sources import parsed as P
+from loomgraph.sources.detect import detect_scanners, infer_scanners
 
 Scanner = Callable[..., DataFrame]
 SCANNERS: dict[str, Scanner] = {
@@ -47,7 +50,7 @@ def resolve_scanner(entry: str | Mapping[str, Any]) -> Callable[[DataFrame], Dat
     if name in SCANNERS:
         return lambda files: SCANNERS[name](files, **options)
     if not name or ":" not in name:
-        raise ConfigError(f"unknown scanner {name!r} (known: {sorted(SCANNERS)})")
+        raise ConfigError(f"there is no scanner {name!r}, only {', '.join(sorted(SCANNERS))}")
     module, _, cls = name.partition(":")
     try:
         built = getattr(importlib.import_module(module), cls)(**options)
@@ -57,7 +60,7 @@ def resolve_scanner(entry: str | Mapping[str, Any]) -> Callable[[DataFrame], Dat
 
 
 def load_config(path: str) -> dict[str, Any]:
-    """The configuration with names, absolute paths and scanner lists filled in."""
+    """The configuration with names and absolute paths filled in; a repo without scanners has None, which ``fill_scanners`` makes a list."""
     with open(path, encoding="utf-8") as f:
         config = json.load(f)
     base = os.path.dirname(os.path.abspath(path))
@@ -67,66 +70,84 @@ def load_config(path: str) -> dict[str, Any]:
 
 def normalize_repo(entry: Any, base: str) -> dict[str, Any]:
     if not isinstance(entry, dict):
-        raise ConfigError("a repo entry must be an object")
+        raise ConfigError("not an object")
     if not isinstance(entry.get("path"), str) or not entry["path"]:
-        raise ConfigError("a repo entry needs a path")
-    path = os.path.normpath(os.path.join(base, os.path.expanduser(entry["path"])))
-    return entry | {"path": path, "name": entry.get("name") or os.path.basename(path), "scanners": entry.get("scanners")}
+        raise ConfigError("`path` is missing or no text")
+    path = entry["path"] if "://" in entry["path"] else os.path.normpath(os.path.join(base, os.path.expanduser(entry["path"])))
+    return entry | {"path": path, "name": entry.get("name") or os.path.basename(path.rstrip("/")), "scanners": entry.get("scanners") or None}
+
+
+def fill_scanners(config: Mapping[str, Any], files: DataFrame) -> dict[str, Any]:
+    """The configuration with scanners for the repos that name none: those that manifests and build files speak for, or else what the sources hold.
+
+    ``files`` has (service, relative, text).  Both are asked of all such repos at once; a repo may be left with none.
+    """
+    open_ = [r["name"] for r in config["repos"] if not r.get("scanners")]
+    if not open_:
+        return dict(config)
+    listed = files.where(F.col("service").isin(open_)).select("service", F.col("relative").alias("path"), "text")
+    found: dict[str, list[str]] = {}
+    for look in (infer_scanners, detect_scanners):  # the latter counts more
+        found |= {r["service"]: list(r["scanners"]) for r in look(listed).collect() if r["scanners"]}
+    return config | {"repos": [r if r.get("scanners") else r | {"scanners": found.get(r["name"], [])} for r in config["repos"]]}
 
 
 def bff_services(config: Mapping[str, Any]) -> set[str] | None:
-    """Services that serve frontends: those named, or else those with a GraphQL scanner beside another one; None if none is known."""
-    if config.get("bff_services") is not None:
+    """Services that serve frontends: those named, or else those with a GraphQL scanner; None if none is known."""
+    if config.get("bff_services"):
         return set(config["bff_services"])
     kinds = {r["name"]: {s if isinstance(s, str) else s.get("type") for s in r.get("scanners") or []} for r in config["repos"]}
-    return {name for name, k in kinds.items() if "graphql" in k and "ts_http_outbound" in k} or None
+    return {name for name, k in kinds.items() if "graphql" in k} or None
 
 
 def validate_config(config: Any, base: str = ".") -> tuple[list[str], list[str]]:
-    """Errors and warnings.  Classes by dotted path are accepted, as scanning accepts them."""
-    errors, warnings, names = [], [], set()
+    """What keeps a configuration from being used, and what is only odd.  Classes by dotted path are accepted, as scanning accepts them."""
     repos = config.get("repos") if isinstance(config, dict) else None
     if not isinstance(repos, list) or not repos:
-        return ["`repos` must be a non-empty array"], []
-    for i, raw in enumerate(repos):
-        try:
-            repo = normalize_repo(raw, base)
-        except ConfigError as e:
-            errors.append(f"repos[{i}]: {e}")
-            continue
-        at = f"repos[{i}]({repo['name']})"
-        if repo["name"] in names:
-            errors.append(f"{at}: duplicate repo name")
-        names.add(repo["name"])
-        if not os.path.isdir(repo["path"]):
-            errors.append(f"{at}: path not found: {repo['path']}")
-        scanners = repo["scanners"]
-        if scanners is None:
-            continue
-        if not isinstance(scanners, list):
-            errors.append(f"{at}: `scanners` must be an array")
-            continue
-        if not scanners:
-            warnings.append(f"{at}: empty `scanners`, the repo will be skipped")
-        for j, s in enumerate(scanners):
-            errors += [f"{at}.scanners[{j}]: {e}" for e in _scanner_errors(s)]
+        return ["no repos: `repos` must list at least one"], []
+    errors, warnings = [], []
+    seen: Counter[str] = Counter()
+    for number, entry in enumerate(repos):
+        wrong, odd, name = _repo_problems(entry, base)
+        seen[name] += bool(name)
+        if name and seen[name] == 2:
+            wrong.append("another repo has this name")
+        label = f"repo {number}" + (f" ({name})" if name else "")
+        errors += [f"{label}: {x}" for x in wrong]
+        warnings += [f"{label}: {x}" for x in odd]
     return errors, warnings
 
 
+def _repo_problems(entry: Any, base: str) -> tuple[list[str], list[str], str]:
+    try:
+        repo = normalize_repo(entry, base)
+    except ConfigError as e:
+        return [str(e)], [], ""
+    wrong = [] if "://" in repo["path"] or os.path.isdir(repo["path"]) else [f"no folder at {repo['path']}"]
+    scanners = entry.get("scanners")
+    if scanners is not None and not isinstance(scanners, list):
+        wrong.append("`scanners` is no list")
+    elif scanners == []:
+        return wrong, ["`scanners` is empty, so they are looked for"], repo["name"]
+    for n, s in enumerate(scanners if isinstance(scanners, list) else []):
+        wrong += [f"scanner {n}: {x}" for x in _scanner_errors(s)]
+    return wrong, [], repo["name"]
+
+
 #: Options that must be objects.
 _MAPS = {"backend_clients": ["client_target_map"], "frontend_rest": ["base_class_service"], "ts_http_outbound": ["settings_key_map", "url_prefix_map", "client_name_map"]}
 
 
 def _scanner_errors(entry: Any) -> list[str]:
     if not isinstance(entry, str | dict):
-        return ["must be a string or an object"]
+        return ["neither a name nor an object"]
     name = entry if isinstance(entry, str) else entry.get("type")
     if not name:
-        return ["missing `type`"]
+        return ["has no `type`"]
     if name not in SCANNERS and ":" not in name:
-        return [f"unknown scanner {name!r} (known: {sorted(SCANNERS)})"]
+        return [f"there is no scanner {name!r}, only {', '.join(sorted(SCANNERS))}"]
     given = {} if isinstance(entry, str) else entry
-    return [f"`{o}` must be an object" for o in _MAPS.get(name, []) if not isinstance(given.get(o, {}), dict)]
+    return [f"`{o}` is no object" for o in _MAPS.get(name, []) if not isinstance(given.get(o, {}), dict)]
 
 
 def load_judgments(spark: SparkSession, path: str) -> DataFrame:

@@ -8,9 +8,9 @@ import pytest
 from loomgraph import schema
 from loomgraph.operators.store import GraphStore
 from loomgraph.plans.cli import main
-from loomgraph.plans.engine import Engine
+from loomgraph.plans.engine import Engine, rendered
 from loomgraph.sources import config, declarative, detect, parsed
-from loomgraph.sources.files import source_files
+from loomgraph.sources.files import fingerprints, source_files
 
 
 def files(spark, *rows):
@@ -160,3 +160,169 @@ def test_source_files(spark, repos):
     assert [r["service"] for r in found] == ["web"] and found[0]["path"].endswith("src/a.ts")
     orders = source_files(spark, {"orders": str(repos / "orders")}).collect()
     assert len(orders) == 1 and orders[0]["text"].count("\n") == 4
+
+
+def web_and_bff(tmp_path):
+    for path, text in (
+        ("web/package.json", "{}"),
+        ("web/src/a.ts", "class OrderApi extends Api { async createOrder() { return this.axiosRequest.post('/orders') } }"),
+        ("bff/package.json", '{"dependencies": {"apollo-server": "3"}}'),
+        ("bff/schema/a.graphql", "type Mutation {\n  createOrder(id: ID): String\n}"),
+        ("jvm/pom.xml", "<project/>"),
+        ("jvm/graphql/a.graphql", "type Query {\n  order(id: ID): String\n}"),
+        ("loose/lib/OrderController.java", '@RequestMapping("/orders")\nclass A {\n@PostMapping\npublic void createOrder(X x) {}\n}'),
+    ):
+        at = tmp_path / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(text)
+
+
+def test_scan_without_scanner_lists(spark, tmp_path):
+    web_and_bff(tmp_path)
+    (tmp_path / "c.json").write_text(json.dumps({"repos": [{"path": n} for n in ("web", "bff", "jvm")] + [{"path": "loose", "scanners": []}, {"path": "gone"}]}))
+    engine, now = Engine(spark, f"file://{tmp_path}/graph"), dt.datetime(2024, 1, 1)
+    assert sorted(engine.scan(config.load_config(str(tmp_path / "c.json")), now)) == ["bff", "jvm", "loose", "web"]
+    assert engine.report.scanners["web"] == ["frontend_graphql", "frontend_rest"] and engine.report.scanners["bff"] == ["graphql", "ts_http_outbound"]
+    assert engine.report.scanners["jvm"][0] == "graphql" and engine.report.scanners["loose"] == ["http"]
+    assert engine.report.missing == ["gone"] and any("gone" in w for w in engine.report.warnings)
+    assert {r["service"] for r in engine.store.read("nodes").collect()} == {"web", "bff", "jvm", "loose"}
+    assert engine.rescan(now) == [] and sorted(engine.report.reused) == ["bff", "jvm", "loose", "web"]
+    # A folder that has gone is passed over, and dropped on demand.
+    (tmp_path / "web").rename(tmp_path / "elsewhere")
+    assert engine.rescan(now) == [] and engine.stats().where("value = 'web'").count() == 1
+    assert "web" not in engine.rescan(now, force=True) and "web" in engine.report.dropped
+    assert engine.stats().where("value = 'web'").isEmpty()
+
+
+def test_unknown_scanner_is_a_warning(spark, repos):
+    cfg = config.load_config(str(repos / "c.json"))
+    cfg["repos"][0]["scanners"] = ["nope", "frontend_rest"]
+    engine = Engine(spark, f"file://{repos}/graph2")
+    engine.scan(cfg, dt.datetime(2024, 1, 1))
+    assert any("nope" in w for w in engine.report.warnings) and engine.stats().where("value = 'web'").count() == 1
+
+
+def test_frontends_go_to_every_graphql_service():
+    repos_ = [{"name": "jvm", "scanners": ["graphql", "http"]}, {"name": "node", "scanners": [{"type": "graphql"}]}, {"name": "web", "scanners": ["frontend_rest"]}]
+    assert config.bff_services({"repos": repos_}) == config.bff_services({"repos": repos_, "bff_services": []}) == {"jvm", "node"}
+    assert config.bff_services({"repos": repos_, "bff_services": ["x"]}) == {"x"} and config.bff_services({"repos": repos_[2:]}) is None
+
+
+def test_answers_ratings_and_expands(spark, repos):
+    engine, now = Engine(spark, f"file://{repos}/graph3"), dt.datetime(2024, 1, 1)
+    with pytest.raises(config.ConfigError):
+        engine.rescan(now)
+    engine.scan(config.load_config(str(repos / "c.json")), now)
+    answer = engine.ask("createOrder", now)
+    assert answer["stale_warning"] is None and answer["chains"][0]["rank"] == 1 and "createOrder" in rendered(answer)
+    assert engine.ask("nothing alike", now)["chains"] == [] and rendered(engine.ask("nothing alike", now)) == "nothing found"
+    assert engine.judge("createOrder", True, now)["node_ids_count"] == len(answer["chains"][0]["nodes"])
+    assert engine.judge("createOrder", True, now + dt.timedelta(seconds=601))["node_ids_count"] == 0
+    assert engine.judge("createOrder", False, now, 9)["total_feedback"] == 3
+    assert engine.open("absent", now)["neighbors"] == []
+    assert engine.open("createorder", now)["neighbors"] and engine.open("createorder", now)["neighbors"]
+    logged = [r["source"] for r in engine.store.read("feedback").collect()]
+    assert logged.count("implicit_expand") == 1 and logged.count("manual") == 3
+    late = engine.ask("createOrder", now + dt.timedelta(days=8))
+    assert "8 days" in late["stale_warning"] and "8 days" in rendered(late) and engine.store.diagnose(now + dt.timedelta(days=8)) == [late["stale_warning"]]
+    assert set(engine.help()) == {"ask", "open", "judge", "rescan", "stats"}
+    # Feedback counts whether or not a time is given.
+    hints = spark.createDataFrame([(1, "createOrder")], "hint_id bigint, hint string")
+    plain = engine.query(hints, feedback=False).first()["confidence"]
+    assert engine.query(hints, as_of=now).first()["confidence"] > plain and engine.query(hints).first()["confidence"] == plain
+
+
+def test_command_line(spark, repos, capsys):
+    store = f"file://{repos}/graph4"
+    (repos / "j.jsonl").write_text('{"hint": "createOrder", "expected_node_ids": ["web::rest::POST::/orders::createOrder"]}\n')
+    assert main(["--store", store, "scan", str(repos / "c.json")]) == 0
+    assert "read: web" in capsys.readouterr().out
+    assert main(["--store", store, "query", "createOrder"]) == 0 and "confidence" in capsys.readouterr().out
+    assert main(["--store", store, "query", "createOrder", "--json"]) == 0 and json.loads(capsys.readouterr().out)["chains"]
+    assert main(["--store", store, "expand", "createOrder"]) == 0 and "neighbor_id" in capsys.readouterr().out
+    assert main(["--store", store, "stats"]) == 0 and '"kind":"service"' in capsys.readouterr().out
+    assert main(["--store", store, "eval", str(repos / "j.jsonl"), "--min-mrr", "0.1"]) == 0
+    assert main(["--store", store, "eval", str(repos / "none.jsonl")]) == 2
+
+
+def test_store_keeps_nodes_without_a_service(spark, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}/g")
+    store.overwrite("nodes", spark.createDataFrame([("a", "t", "n", None), ("b", "t", "n", "s"), ("c", "t", "n", "u")], "id string, type string, raw_name string, service string"))
+    store.replace_services(spark.createDataFrame([], schema.NODE), ["s"])
+    assert sorted(r["id"] for r in store.read("nodes").collect()) == ["a", "c"]
+    store.insert_clusters(spark.createDataFrame([("h", 0.5, ["a"])], schema.CLUSTER))
+    store.insert_clusters(spark.createDataFrame([("h", 0.4, ["c"])], schema.CLUSTER))
+    assert store.read("clusters").count() == 2
+    store.clear_clusters()
+    store.clear_edges()
+    assert store.read("clusters").isEmpty() and store.read("edges").isEmpty()
+
+
+def test_files_below_two_roots(spark, tmp_path):
+    for path in ("a/x.txt", "a/in ner/y+z.txt", "b/z.txt"):
+        at = tmp_path / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(path)
+    found = source_files(spark, {"all": str(tmp_path / "a"), "inner": str(tmp_path / "a/in ner"), "b": f"file://{tmp_path}/b"})
+    assert sorted((r["service"], r["relative"]) for r in found.collect()) == [("all", "in ner/y+z.txt"), ("all", "x.txt"), ("b", "z.txt"), ("inner", "y+z.txt")]
+    tokens = {r["name"]: r["git_hash"] for r in fingerprints(found).collect()}
+    assert tokens == {r["name"]: r["git_hash"] for r in fingerprints(found.repartition(3)).collect()}
+    (tmp_path / "b/z.txt").write_text("other")
+    again = {r["name"]: r["git_hash"] for r in fingerprints(source_files(spark, {"all": str(tmp_path / "a"), "b": str(tmp_path / "b")})).collect()}
+    assert again["all"] == tokens["all"] and again["b"] != tokens["b"] and source_files(spark, {}).isEmpty()
+
+
+LISTENERS = """
+@KafkaListener(groupId = "g1", topics = {"${kafka.topic.orderCreated}", "plain-topic"})
+void a() {}
+@KafkaListener(topics = "${app.unknown}") void b() {}
+void c() { kafkaProducer.send(kafkaTopicProperties.getStockMoved(), x); kafkaTemplate.send("direct", y); other.send("no"); }
+"""
+
+
+def test_kafka_uses(spark):
+    yaml = "kafka:\n  topic:\n    orderCreated: orders-v1 # note\n"
+    found = declarative.scan_kafka(files(spark, ("src/main/A.java", LISTENERS), ("application.yaml", yaml), ("src/test/B.java", LISTENERS)))
+    roles = {(r["raw_name"], r["method"]) for r in found.collect()}
+    assert roles == {("orders-v1", "config"), ("g1", "consume"), ("plain-topic", "consume"), ("unknown", "consume"), ("stock-moved", "produce"), ("direct", "produce")}
+
+
+def test_frontend_operations(spark):
+    blocks = ["query GetOrders($id: ID) {\n    orders(id: $id) {\n      id\n    }\n}", "mutation ($x: X) {\n    saveOrder(x: $x) { id }\n}", "{ me { id } }", "subscription (\n) { }", ""]
+    text = "".join(f"const q{i} = gql`{b}`;\n" for i, b in enumerate(blocks))
+    found = [(r["type"], r["raw_name"], r["fields"]) for r in parsed.scan_frontend_graphql(files(spark, ("a.tsx", text), ("node_modules/a.ts", text))).collect()]
+    assert found == [
+        ("frontend_query", "GetOrders", ["orders", "id"]), ("frontend_mutation", "saveOrder", ["saveOrder"]), ("frontend_query", "me", []),
+        ("frontend_subscription", "anonymous", []), ("frontend_query", "unknown", []),
+    ]
+
+
+def test_cubes_by_brackets(spark):
+    text = 'cube(`Orders`, {\n  sql: `select {x}`,\n  measures: {\n    count: {\n      type: `count`\n    },\n    total: { sql: `a`, filters: [{ sql: `b` }] }\n  },\n  dimensions: { id: { type: `number` } }\n});\ncube("Bad", x)'
+    found = parsed.scan_cubes(files(spark, ("model/a.js", text), ("other/a.js", text))).collect()
+    assert [(r["raw_name"], r["fields"]) for r in found] == [("Orders", ["count", "total", "id"])]
+
+
+def test_backend_clients(spark):
+    text = """class OrderClient {
+  public Order getOrder(String id) { return restClient.get().uri(b -> b.pathSegment("orders", id, "it's").build()).retrieve(); }
+  public void put(Order o) { restClient.put().uri("/orders/{id}", 1); }
+  public Map<String, X> spaced(String id) { return restClient.get().uri("/no"); }
+  public String toString() { restClient.get(); }
+}"""
+    found = {r["raw_name"]: (r["method"], r["path"], r["target_service"]) for r in parsed.scan_backend_clients(files(spark, ("src/main/order/OrderClient.java", text))).collect()}
+    assert found == {"getOrder": ("GET", "/orders/{id}/it's", "order"), "put": ("PUT", "/orders/{id}", "order")}
+
+
+def test_outbound_calls(spark):
+    text = """const load = async (x: X) => { await fetch('/api/eu/x'); axios.get(url); axios({ url }); myAxios.post<T>('/no'); };
+class A extends B {
+  setUp() { this.setBaseURL(settings.orders.host); }
+  async send(x): Promise<void> { this.get<T>('/a/${x}'); this.other('/no'); return new OrderClient(); }
+}
+"""
+    found = parsed.scan_ts_outbound(files(spark, ("s/a.ts", text), ("s/a.test.ts", text)), {"orders": "orders-svc"}, {"/api/eu": "eu"}, {"order": "orders-svc"})
+    assert {(r["raw_name"], r["target_service"], r["method"], r["path"]) for r in found.collect()} == {
+        ("A", "orders-svc", None, None), ("A.get", None, "GET", None), ("A.axios", None, None, None), ("A.fetch", "eu", "GET", "/api/eu/x"),
+        ("A.send", "orders-svc", "GET", "/a/${x}"), ("A.OrderClient", "orders-svc", None, None),
+    }
