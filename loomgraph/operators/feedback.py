@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,38 +43,101 @@ def rerank(clusters: DataFrame, hints: DataFrame, counts: DataFrame) -> DataFram
     return out.withColumn("rank", F.row_number().over(best))
 
 
+def _buckets(at: Column, ttl_s: int) -> Column:
+    """The stretch of ``ttl_s`` seconds that a time falls into."""
+    return F.floor(F.unix_micros(at) / (ttl_s * 1_000_000)).cast("bigint")
+
+
+def _within(rows: DataFrame, at: str, ttl_s: int) -> DataFrame:
+    """Rows once for their own stretch and once for the next: what follows within the time to live falls into one of them."""
+    first = _buckets(F.col(at), ttl_s)
+    return rows.withColumn("__b", F.explode(F.array(first, first + 1)))
+
+
+#: What a session waits for at most.
+MOST_PENDING = 20
+
+
 def implicit_feedback(queries: DataFrame, expands: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
     """Each query's first expand within the time to live that matches a node name of it, as a positive row.
 
     queries: (session, query_id, hint, ts, clusters array<struct<rank, node_names, node_ids>>); expands: (session, name, ts).
-    Names match if either contains the other, in lower case; a query counts once, by its first matching cluster.
+    Names match if either contains the other, in lower case; a query counts once, by its first matching cluster.  A session waits for
+    its last 20 queries that haven't counted yet, as in the stream, whose steps are taken here too: over stretches of a session without a pause longer than the time to live, which
+    know nothing of each other, in order of time and row by row.
     """
-    q = queries.select("session", "query_id", "hint", F.col("ts").alias("asked"), "clusters")
-    e = expands.select("session", F.lower("name").alias("name"), F.col("ts").alias("opened"))
-    soon = (F.col("opened") >= F.col("asked")) & (F.col("opened") <= F.col("asked") + F.expr(f"INTERVAL {ttl_s} SECONDS"))
-
-    def matches(cluster: Column) -> Column:
-        return F.exists(cluster["node_names"], lambda n: F.contains(F.lower(n), F.col("name")) | F.contains(F.col("name"), F.lower(n)))
-
-    met = q.join(e, "session").where(soon).withColumn("hit", F.get(F.filter("clusters", matches), F.lit(0))).where("hit IS NOT NULL")
-    first = met.withColumn("__n", F.row_number().over(Window.partitionBy("session", "query_id").orderBy("opened", "name"))).where("__n = 1")
-    return first.select(
-        F.col("opened").alias("ts"), "hint", F.col("hit.rank").cast("int").alias("cluster_rank"), F.col("hit.node_ids").alias("node_ids"),
-        F.lit(True).alias("accepted"), F.lit("implicit_expand").alias("source"), "session", "query_id",
-    )
+    q = queries.select("session", F.lit("query").alias("kind"), "ts", "query_id", "hint", F.lit(None).cast("string").alias("name"), F.col("clusters").cast(CLUSTERS).alias("clusters"))
+    e = expands.select("session", F.lit("expand").alias("kind"), "ts", F.lit(None).cast("bigint").alias("query_id"), F.lit(None).cast("string").alias("hint"), "name", F.lit(None).cast(CLUSTERS).alias("clusters"))
+    rows = q.unionByName(e).where("ts IS NOT NULL AND session IS NOT NULL")
+    own = Window.partitionBy("session").orderBy("ts")
+    pause = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(own)) > ttl_s * 1_000_000
+    rows = rows.withColumn("__pause", F.coalesce(pause.cast("int"), F.lit(0)))
+    rows = rows.withColumn("__stretch", F.sum("__pause").over(own.rangeBetween(Window.unboundedPreceding, 0))).drop("__pause")
+    order = ["session", "__stretch", "ts", F.when(F.col("kind") == "query", 0).otherwise(1), "query_id", "name"]
+    dealt = rows.repartition("session", "__stretch").sortWithinPartitions(*order)
+    found = dealt.mapInArrow(pending_steps(ttl_s), IMPLICIT)
+    return found.select("ts", "hint", "cluster_rank", "node_ids", F.lit(True).alias("accepted"), F.lit("implicit_expand").alias("source"), "session", "query_id")
 
 
 def rating_nodes(ratings: DataFrame, queries: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
     """Ratings with the node ids of the session's latest query with the same hint that had the rated rank, within the time to live.
 
-    An as-of join backwards: older queries stand in where newer ones have no such rank; without any the ids are empty.
+    An as-of join backwards, by stretches of time; older queries stand in where newer ones have no such rank; without any the ids are empty.
     """
-    c = F.explode("clusters").alias("c")
-    pending = queries.select("session", "hint", F.col("ts").alias("asked"), "query_id", c).select(
-        "session", "hint", "asked", "query_id", F.col("c.rank").alias("cluster_rank"), F.col("c.node_ids").alias("node_ids")
-    )
+    asked = queries.select("session", "hint", F.col("ts").alias("asked"), "query_id", "clusters")
+    pending = _within(asked, "asked", ttl_s).select("session", "hint", "asked", "query_id", "__b", F.explode("clusters").alias("c"))
+    pending = pending.select("session", "hint", "__b", "asked", "query_id", F.col("c.rank").alias("cluster_rank"), F.col("c.node_ids").alias("node_ids"))
     soon = (F.col("asked") <= F.col("ts")) & (F.col("ts") <= F.col("asked") + F.expr(f"INTERVAL {ttl_s} SECONDS"))
-    met = ratings.join(pending, ["session", "hint", "cluster_rank"]).where(soon)
-    latest = met.withColumn("__n", F.row_number().over(Window.partitionBy("rating_id").orderBy(F.col("asked").desc(), F.col("query_id").desc()))).where("__n = 1")
-    out = ratings.join(latest.select("rating_id", "node_ids"), "rating_id", "left")
+    met = ratings.withColumn("__b", _buckets(F.col("ts"), ttl_s)).join(pending, ["session", "hint", "cluster_rank", "__b"]).where(soon)
+    latest = met.groupBy("rating_id").agg(F.max_by("node_ids", F.struct("asked", "query_id")).alias("node_ids"))
+    out = ratings.join(latest, "rating_id", "left")
     return out.withColumn("node_ids", F.coalesce("node_ids", F.array().cast("array<string>")))
+
+
+# What a session goes through, row by row
+
+CLUSTERS = "array<struct<rank:int,node_names:array<string>,node_ids:array<string>>>"
+IMPLICIT = "session string, ts timestamp, query_id bigint, hint string, cluster_rank int, node_ids array<string>"
+
+
+def matching_cluster(name: str, clusters: list[dict]) -> dict | None:
+    """The first cluster with a node name that contains the opened name or is contained in it, in lower case."""
+    low = name.lower()
+    return next((c for c in clusters if any(low in n.lower() or n.lower() in low for n in c["node_names"])), None)
+
+
+def step(waiting: list[tuple], row: Mapping, ttl_s: int, found: list[tuple]) -> list[tuple]:
+    """What waits after a row; queries that it answers are added to ``found`` as (ts, query_id, hint, rank, node ids).
+
+    ``waiting`` has (asked, query_id, hint, clusters), oldest first.
+    """
+    if row["kind"] == "query":
+        return [*waiting, (row["ts"], row["query_id"], row["hint"], row["clusters"] or [])][-MOST_PENDING:]
+    left = []
+    for entry in waiting:
+        asked, query_id, hint, clusters = entry
+        hit = matching_cluster(row["name"] or "", clusters) if 0 <= (row["ts"] - asked).total_seconds() <= ttl_s else None
+        if hit:
+            found.append((row["ts"], query_id, hint, hit["rank"], list(hit["node_ids"])))
+        else:
+            left.append(entry)
+    return left
+
+
+def pending_steps(ttl_s: int):
+    """Steps over rows that are sorted by session, stretch and time; what waits is all that is held."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, waiting = None, []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if (row["session"], row["__stretch"]) != at:
+                    at, waiting = (row["session"], row["__stretch"]), []
+                found: list[tuple] = []
+                waiting = step(waiting, row, ttl_s, found)
+                out += [(row["session"], *f) for f in found]
+            kinds = [pa.string(), batch.schema.field("ts").type, pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split()[0] for x in IMPLICIT.split(", ")])
+
+    return run

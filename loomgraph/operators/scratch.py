@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a local folder of this process where that is unset; it goes when the driver ends."""
+    """A new path below spark.checkpoint.dir, or, in local mode, where that may be unset, below a folder of this process; it goes when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", "").rstrip("/")
     if not root:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
     path = f"{root}/loomgraph/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

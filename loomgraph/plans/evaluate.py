@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.substrings import contained
 from loomgraph.plans.query import query
 
 TOP_K, DEPTH = 5, 10
@@ -70,9 +71,9 @@ def gate(scores: DataFrame, min_hit_rate: float | None = None, min_mrr: float |
 def literal_search(lines: DataFrame, hints: DataFrame) -> DataFrame:
     """(hint_id, path, line, text, rank): lines that hold a hint in any case, in the order of path, line and text.
 
-    lines: (path, line, text).  The hints are the small side.
+    lines: (path, line, text).  Each line is walked once for all hints.
     """
-    met = lines.join(F.broadcast(hints.select("hint_id", F.lower("hint").alias("__h"))), F.contains(F.lower("text"), F.col("__h")))
+    met = contained(lines.select("path", "line", "text"), [F.lower("text")], hints.select("hint_id", "hint"), F.lower("hint"))
     order = Window.partitionBy("hint_id").orderBy("path", "line", "text")
     return met.select("hint_id", "path", "line", F.trim("text").alias("text")).withColumn("rank", F.row_number().over(order))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomgraph.functions import scores as S
-from loomgraph.sources.catalog import BFF_SERVICES, KINDS, TYPES, VERBS
+from loomgraph.sources.catalog import BFF_SERVICES, KINDS, PARTS_A_GROUP, TYPES, VERBS
 
 
 def toks(x: str) -> str:
@@ -29,12 +29,14 @@ def has(kind: str) -> str:
 
 _CALLS = "'http_endpoint', 'frontend_rest', 'backend_client_call'"
 NODES = f"""
-p0 AS (SELECT p_name, p_type, min(p_brand) AS brand, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, list_position({KINDS}, p_type) AS t FROM part GROUP BY 1, 2),
+pt AS (SELECT p_brand, p_type, split_part(p_name, ' ', 1) || s || ' ' || split_part(p_name, ' ', 2) || s AS p_name, lower(p_type) || s AS p_kind
+  FROM (SELECT *, translate((p_partkey // {PARTS_A_GROUP})::varchar, '0123456789', 'abcdefghij') AS s FROM part)),
+p0 AS (SELECT p_name, p_type, p_kind, min(p_brand) AS brand, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, list_position({KINDS}, p_type) AS t FROM pt GROUP BY 1, 2, 3),
 p1 AS (SELECT *, {TYPES}[(ascii(w1) + 2 * ascii(w2) + 3 * t) % {len(TYPES)} + 1] AS type, 'svc-' || (ascii(w2) + t) % 5 AS service FROM p0),
 p2 AS (SELECT *, CASE WHEN type IN ({_CALLS}) THEN {VERBS}[(len(p_name) + t) % 5 + 1] WHEN type = 'kafka_topic' THEN CASE WHEN t % 2 = 0 THEN 'produce' ELSE 'consume' END END AS method,
-  CASE WHEN type IN ({_CALLS}) THEN '/' || lower(p_type) || '/{{' || w2 || 'Id}}' END AS path,
-  CASE WHEN type = 'backend_client_call' THEN 'svc-' || ascii(w1) % 5 END AS target_service, w1 || {cap("w2")} || {cap("p_type")} AS raw_name FROM p1),
-p3 AS (SELECT *, service || '::' || type || '::' || coalesce(method, '-') || '::' || raw_name AS id, [w2 || 'Id', lower(p_type) || 'Code', brand] AS fields FROM p2),
+  CASE WHEN type IN ({_CALLS}) THEN '/' || p_kind || '/{{' || w2 || 'Id}}' END AS path,
+  CASE WHEN type = 'backend_client_call' THEN 'svc-' || ascii(w1) % 5 END AS target_service, w1 || {cap("w2")} || {cap("p_kind")} AS raw_name FROM p1),
+p3 AS (SELECT *, service || '::' || type || '::' || coalesce(method, '-') || '::' || raw_name AS id, [w2 || 'Id', p_kind || 'Code', brand] AS fields FROM p2),
 nodes AS (SELECT id, type, raw_name, service, method, path, target_service, {uniq(toks("raw_name"))} AS tokens,
   {uniq(f"flatten(list_transform(list_concat(fields, list_filter([path, target_service], lambda x: x IS NOT NULL)), lambda f: {toks('f')}))")} AS field_tokens FROM p3)"""
 IDF = """
@@ -85,10 +87,10 @@ ADJ = """
 adj AS (SELECT source_id AS id, target_id AS other, total_score AS s FROM edges UNION ALL SELECT target_id, source_id, total_score FROM edges)"""
 GRAPH = f"{NODES}, {IDF}, {PAIRS}, {EDGES}, {ADJ}"
 HINTS = f"""
-h0 AS (SELECT p_name AS hint FROM part UNION SELECT split_part(p_name, ' ', 1) FROM part UNION SELECT 'svc ' || min(split_part(p_name, ' ', 2)) FROM part),
+h0 AS (SELECT p_name AS hint FROM pt UNION SELECT split_part(p_name, ' ', 1) FROM pt UNION SELECT 'svc ' || min(split_part(p_name, ' ', 2)) FROM pt),
 hints0 AS (SELECT row_number() OVER (ORDER BY hint) AS hint_id, hint FROM h0)"""
 FAINT = """
-h0 AS (SELECT DISTINCT p_name || ' alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu' AS hint FROM part),
+h0 AS (SELECT DISTINCT p_name || ' alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu' AS hint FROM pt),
 hints0 AS (SELECT row_number() OVER (ORDER BY hint) AS hint_id, hint FROM h0)"""
 EFFECTIVE = f"""
 st AS (SELECT list(DISTINCT t) AS st FROM (SELECT unnest({toks("service")}) AS t FROM nodes)),
@@ -188,9 +190,17 @@ COUNTS = """
 fc AS (SELECT hint, node_id, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS rejected FROM (SELECT hint, accepted, unnest(node_ids) AS node_id FROM fr) GROUP BY 1, 2)"""
 ACTIVITY = """
 ids AS (SELECT row_number() OVER (ORDER BY id) - 1 AS n, id, raw_name FROM nodes),
-ac AS (SELECT user_id::varchar AS session, event_id AS query_id, ts, event_type, x.raw_name AS name1, x.id AS id1, y.raw_name AS name2, y.id AS id2
-  FROM events JOIN ids x ON x.n = user_id % 4 JOIN ids y ON y.n = (user_id + event_id) % 4)"""
-IMPLICIT = """
-im AS (SELECT q.session, q.query_id, q.name1 AS hint, e.ts, CASE WHEN e.name2 = q.name1 THEN 1 WHEN e.name2 = q.name2 THEN 2 END AS hit, CASE WHEN e.name2 = q.name1 THEN q.id1 ELSE q.id2 END AS node,
-  row_number() OVER (PARTITION BY q.session, q.query_id ORDER BY e.ts, e.name2) AS k
-  FROM ac q JOIN ac e ON e.session = q.session AND q.event_type = 'view' AND e.event_type = 'click' AND e.ts >= q.ts AND e.ts <= q.ts + INTERVAL 600 SECOND WHERE e.name2 IN (q.name1, q.name2))"""
+hr AS (SELECT *, floor(epoch(ts) / 3600)::bigint * 7 AS h, (SELECT count(*) FROM nodes) AS size FROM events),
+ac AS (SELECT (user_id % 4)::varchar AS session, event_id AS query_id, ts, event_type, x.raw_name AS name1, x.id AS id1, y.raw_name AS name2, y.id AS id2
+  FROM hr JOIN ids x ON x.n = h % size JOIN ids y ON y.n = (h + user_id % 3 + 1) % size)"""
+
+
+def _opens(i: int) -> str:
+    both = " OR ".join(f"contains(lower(q.{c}{i}), lower(e.name2)) OR contains(lower(e.name2), lower(q.{c}{i}))" for c in ("name", "id"))
+    return f"({both})"
+
+
+IMPLICIT = f"""
+im AS (SELECT q.session, q.query_id, q.name1 AS hint, e.ts, CASE WHEN {_opens(1)} THEN 1 ELSE 2 END AS hit, CASE WHEN {_opens(1)} THEN q.id1 ELSE q.id2 END AS node,
+  row_number() OVER (PARTITION BY q.session, q.query_id ORDER BY e.ts, e.query_id, e.name2) AS k
+  FROM ac q JOIN ac e ON e.session = q.session AND q.event_type = 'view' AND e.event_type = 'click' AND e.ts >= q.ts AND e.ts <= q.ts + INTERVAL 600 SECOND WHERE {_opens(1)} OR {_opens(2)})"""

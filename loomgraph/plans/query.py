@@ -11,6 +11,7 @@ from loomgraph.operators import clusters as C
 from loomgraph.operators import feedback as B
 from loomgraph.operators.scratch import cut
 from loomgraph.operators.similarity import adjacency
+from loomgraph.operators.substrings import contained
 
 PER_BUCKET, MOST_SHOWN, SUMMARY_FLOOR, EXPAND_FLOOR, MOST_TARGETS, MOST_NEIGHBORS = 2, 12, 0.12, 0.08, 3, 10
 
@@ -89,11 +90,9 @@ def query(nodes: DataFrame, edges: DataFrame, hints: DataFrame, top_n: int = 5,
 def expand(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
     """(name, source_id, neighbor_id, label, score, from_service, to_service, direction, rank): up to ten neighbours of up to three nodes.
 
-    ``names`` is (name); a node matches if its id or name contains it in lower case.  The names are few, the nodes' own
-    columns are all that is compared with them.
+    ``names`` is (name); a node matches if its id or name contains it in lower case.  Each node is walked once for all names.
     """
-    low = F.lower("name")
-    met = nodes.join(F.broadcast(names), F.contains(F.lower("id"), low) | F.contains(F.lower("raw_name"), low))
+    met = contained(nodes.select("id", "raw_name", "service"), [F.lower("id"), F.lower("raw_name")], names.select("name"), F.lower("name"))
     first = met.withColumn("__n", F.row_number().over(Window.partitionBy("name").orderBy("id"))).where(F.col("__n") <= MOST_TARGETS)
     source = first.select("name", F.col("id").alias("source_id"), F.col("service").alias("__s"))
     strong = edges.where(F.col("total_score") >= EXPAND_FLOOR)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scores as S
@@ -17,6 +17,7 @@ from loomgraph.operators import feedback as B
 from loomgraph.operators import similarity as J
 from loomgraph.operators import stats as X
 from loomgraph.operators import store as K
+from loomgraph.operators.numbering import numbered
 from loomgraph.operators.scratch import cut, shared_folder
 from loomgraph.plans import evaluate as E
 from loomgraph.plans import oracles as O
@@ -47,10 +48,11 @@ class Inputs:
 
 
 DERIVED: dict[str, Callable[[Inputs], DataFrame]] = {
-    "nodes": lambda t: catalog.part_nodes(t.table("part")),
+    "parts": lambda t: catalog.grown(t.table("part")),
+    "nodes": lambda t: catalog.part_nodes(t.parts),
     "idf": lambda t: J.token_idf(t.nodes),
     "edges": lambda t: J.score_pairs(t.nodes, t.idf, catalog.BFF_SERVICES),
-    "hints": lambda t: catalog.part_hints(t.table("part")),
+    "hints": lambda t: catalog.part_hints(t.parts),
     "asked": lambda t: A.effective_hints(t.hints, t.nodes),
     "anchors": lambda t: A.find_anchors(t.nodes, t.asked),
     "hoods": lambda t: C.neighborhoods(t.anchors, t.edges),
@@ -60,12 +62,32 @@ DERIVED: dict[str, Callable[[Inputs], DataFrame]] = {
     "feedback": lambda t: B.recent(catalog.event_feedback(t.table("events"), t.nodes, t.hints), AS_OF, FEEDBACK_DAYS),
     "answers": lambda t: Q.query(t.nodes, t.edges, t.hints),
 }
-_graphs: dict[tuple[str, str], Inputs] = {}
+#: What makes up the index; the rest belongs to the queries.
+INDEX = ("parts", "nodes", "idf", "edges")
+_graphs: dict[tuple, Inputs] = {}
+
+
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """The files of the tables in a folder with their sizes and times of change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found, waiting = [], list(path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+    for f in waiting:
+        if f.isDirectory():
+            waiting += list(f.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(f.getPath()))
+        else:
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    """The stored graph of a folder; a session keeps it, as queries run on an index that is built once."""
-    return _graphs.setdefault((spark.sparkContext.applicationId, sf_dir), Inputs(spark, sf_dir))
+    """The stored graph of a folder; a session keeps it while the folder's files stay as they are, as queries run on an index that is built once."""
+    return _graphs.setdefault((spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir)), Inputs(spark, sf_dir))
+
+
+def forget(index: bool = True) -> None:
+    """Lets go of what was made for the queries, and of the index too."""
+    for t in _graphs.values():
+        t.stored = {} if index else {k: v for k, v in t.stored.items() if k in INDEX}
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,8 +276,8 @@ def anchors(t):
 @query(f"WITH {O.NODES}, {O.FAINT}, {O.EFFECTIVE}, {O.SCORES}, {O.ANCHORS} SELECT hint_id, id, rank, round(score, 6) AS score FROM anchors")
 def anchors_fallback(t):
     more = " alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
-    faint = t.table("part").select(F.concat("p_name", F.lit(more)).alias("hint")).distinct()
-    hints = faint.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("hint")).cast("bigint").alias("hint_id"), "hint")
+    faint = t.parts.select(F.concat("p_name", F.lit(more)).alias("hint")).distinct()
+    hints = numbered(faint, "hint", "hint_id")
     found = A.find_anchors(t.nodes, A.effective_hints(hints, t.nodes))
     return found.select("hint_id", "id", F.col("rank").cast("bigint").alias("rank"), r6("score").alias("score"))
 
@@ -344,7 +366,7 @@ def serialized_answers(t):
     return back.select("hint_id", F.size("p").cast("bigint").alias("n_clusters"), F.array_join(ids, ";").alias("ids"))
 
 
-_NAMES = f"nm AS (SELECT lower(w1 || {O.cap('w2')}) AS name FROM p0 WHERE t = 1)"
+_NAMES = f"nm AS (SELECT DISTINCT lower(w1 || {O.cap('w2')}) AS name FROM p0)"
 
 
 @query(f"""WITH {O.GRAPH}, {_NAMES},
@@ -356,7 +378,7 @@ SELECT name, source_id, other AS neighbor_id, {O.LABEL} AS label, round(s, 3) AS
 FROM nx JOIN nodes ON nodes.id = other WHERE rank <= 10""")
 def expand_node(t):
     w1, w2 = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
-    names = t.table("part").where("p_type = 'ECONOMY'").select(F.lower(F.concat(w1, w2)).alias("name")).distinct()
+    names = t.parts.select(F.lower(F.concat(w1, w2)).alias("name")).distinct()
     return Q.expand(t.nodes, t.edges, names).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -395,7 +417,7 @@ def _implicit(found: DataFrame) -> DataFrame:
 
 @query(_IMPLICIT)
 def implicit_feedback(t):
-    queries, expands = catalog.event_activity(t.table("events"), t.nodes)
+    queries, expands, _ = catalog.event_activity(t.table("events"), t.nodes)
     return _implicit(B.implicit_feedback(queries, expands))
 
 
@@ -404,11 +426,14 @@ def implicit_feedback_stream(t):
     """The same by the stateful operator: events as a stream of files, read once."""
     from loomgraph.streaming import implicit as I
 
-    queries, expands = catalog.event_activity(t.table("events"), t.nodes)
+    queries, expands, _ = catalog.event_activity(t.table("events"), t.nodes)
     blank = {"name": F.lit(None).cast("string"), "clusters": F.lit(None).cast(I.CLUSTERS), "hint": F.lit(None).cast("string")}
     rows = queries.select("session", F.lit("query").alias("kind"), "ts", "query_id", "hint", blank["name"].alias("name"), F.col("clusters").cast(I.CLUSTERS).alias("clusters")).unionByName(
         expands.select("session", F.lit("expand").alias("kind"), "ts", "query_id", blank["hint"].alias("hint"), "name", blank["clusters"].alias("clusters"))
     )
+    # A last row of no session, an hour later, moves the watermark past all others.
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts")).where("ts IS NOT NULL")
+    rows = rows.unionByName(end.select(F.lit("").alias("session"), F.lit("expand").alias("kind"), "ts", F.lit(None).cast("bigint").alias("query_id"), *[v.alias(k) for k, v in blank.items()]))
     return _implicit(run_once(t.spark, rows, I.ACTIVITY, I.implicit_feedback_stream))
 
 
@@ -431,7 +456,7 @@ def run_once(spark: SparkSession, rows: DataFrame, schema: str, operator: Callab
 
 
 _ASOF = f"""WITH {O.NODES}, {O.ACTIVITY},
-rt AS (SELECT query_id AS rating_id, session, ts, name2 AS hint, query_id % 2 + 1 AS cluster_rank FROM ac WHERE event_type = 'purchase'),
+rt AS (SELECT query_id AS rating_id, session, ts, name1 AS hint, query_id % 2 + 1 AS cluster_rank FROM ac WHERE event_type = 'purchase'),
 pq AS (SELECT session, query_id, ts AS asked, name1 AS hint, unnest([1, 2]) AS cluster_rank, unnest([id1, id2]) AS node FROM ac WHERE event_type = 'view'),
 mm AS (SELECT rating_id, node, row_number() OVER (PARTITION BY rating_id ORDER BY asked DESC, query_id DESC) AS k FROM rt JOIN pq USING (session, hint, cluster_rank) WHERE asked <= ts AND ts <= asked + INTERVAL 600 SECOND)
 SELECT rating_id, hint, cluster_rank, coalesce(node, '') AS node_ids FROM rt LEFT JOIN (SELECT * FROM mm WHERE k = 1) USING (rating_id)"""
@@ -439,16 +464,14 @@ SELECT rating_id, hint, cluster_rank, coalesce(node, '') AS node_ids FROM rt LEF
 
 @query(_ASOF)
 def rating_asof(t):
-    queries, _ = catalog.event_activity(t.table("events"), t.nodes)
-    rated = catalog.event_activity(t.table("events").where("event_type = 'purchase'").withColumn("event_type", F.lit("click")), t.nodes)[1]
-    ratings = rated.select(F.col("query_id").alias("rating_id"), "session", "ts", F.col("name").alias("hint"), (F.col("query_id") % 2 + 1).cast("int").alias("cluster_rank"))
+    queries, _, ratings = catalog.event_activity(t.table("events"), t.nodes)
     return B.rating_nodes(ratings, queries).select("rating_id", "hint", F.col("cluster_rank").cast("bigint").alias("cluster_rank"), text("node_ids").alias("node_ids"))
 
 
 # Evaluation
 
 _JUDGED = f"""{_ANSWER},
-jn AS (SELECT p_name, {O.uniq("list(n.id)")} AS ids FROM (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) || {O.cap("split_part(p_name, ' ', 2)")} AS stem FROM part) JOIN nodes n ON starts_with(n.raw_name, stem) GROUP BY 1),
+jn AS (SELECT p_name, {O.uniq("list(n.id)")} AS ids FROM (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) || {O.cap("split_part(p_name, ' ', 2)")} AS stem FROM pt) JOIN nodes n ON starts_with(n.raw_name, stem) GROUP BY 1),
 jd AS (SELECT row_number() OVER (ORDER BY p_name) AS judgment_id, p_name AS hint, ids FROM jn),
 ju AS (SELECT judgment_id, hint, CASE WHEN judgment_id % 3 = 0 THEN ids[1:2] ELSE ids[1:1] END AS expected, CASE WHEN judgment_id % 3 = 0 THEN 'all' ELSE 'any' END AS match, CASE WHEN judgment_id % 2 = 0 THEN 3 ELSE 5 END AS k FROM jd),
 jr AS (SELECT judgment_id, min(ans.rank) AS rank FROM ju JOIN hints0 USING (hint) JOIN ans USING (hint_id) WHERE ans.rank <= k AND CASE WHEN match = 'all' THEN list_has_all(node_ids, expected) ELSE list_has_any(node_ids, expected) END GROUP BY 1),
@@ -458,7 +481,7 @@ jx AS (SELECT ju.judgment_id, ju.hint, k, match, rank IS NOT NULL AS hit, rank F
 
 
 def _judged(t: Inputs) -> DataFrame:
-    return E.evaluate(t.nodes, t.edges, catalog.part_judgments(t.table("part"), t.nodes))
+    return E.evaluate(t.nodes, t.edges, catalog.part_judgments(t.parts, t.nodes))
 
 
 @query(f"WITH RECURSIVE {_JUDGED} SELECT judgment_id, hint, k, match, hit, rank FROM jx")

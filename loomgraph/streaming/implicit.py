@@ -1,7 +1,9 @@
 """Implicit feedback as a stream: pending queries per session, matched by what is opened later.
 
-A session keeps its last 20 queries; one that is older than ten minutes when something is opened counts no more and
-gives no negative feedback either; a query is used up by its first match.
+A session's rows are taken in order of event time, whatever micro-batch brings them: a row waits until the watermark has passed it, and
+later ones that are older than the watermark are dropped.  A session keeps its last 20 queries; one that is older than ten minutes when
+something is opened counts no more and gives no negative feedback either; a query is used up by its first match.  A session's
+state goes when its youngest query has outlived its time.
 """
 
 from __future__ import annotations
@@ -13,65 +15,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-TTL_S, MOST_PENDING = 600, 20
-CLUSTERS = "array<struct<rank:int,node_names:array<string>,node_ids:array<string>>>"
+from loomgraph.operators.feedback import CLUSTERS, TTL_S, step
+
 #: Queries and expands in one stream: kind is query or expand, clusters belong to the one and name to the other.
 ACTIVITY = f"session string, kind string, ts timestamp, query_id bigint, hint string, name string, clusters {CLUSTERS}"
 OUT = "session string, ts timestamp, query_id bigint, hint string, cluster_rank int, node_ids array<string>, accepted boolean, source string"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def matching_cluster(name: str, clusters) -> dict | None:
-    """The first cluster with a node name that contains the opened name or is contained in it, in lower case."""
-    low = name.lower()
-    return next((c for c in clusters if any(low in n.lower() or n.lower() in low for n in c["node_names"])), None)
+_COLUMNS = [x.split()[0] for x in OUT.split(", ")]
+_EARLY = ["at", "kind", "ts", "query_id", "hint", "name", "clusters"]
 
 
 class PendingQueries(StatefulProcessor):
+    def __init__(self, ttl_s: int = TTL_S):
+        self.ttl_s = ttl_s
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getListState("pending", f"ts timestamp, query_id bigint, hint string, clusters {CLUSTERS}")
+        self.handle = handle
+        self.pending = handle.getListState("pending", f"at bigint, ts timestamp, query_id bigint, hint string, clusters {CLUSTERS}")
+        self.early = handle.getListState("early", f"at bigint, kind string, ts timestamp, query_id bigint, hint string, name string, clusters {CLUSTERS}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        waiting = [tuple(x) for x in self.pending.get()] if self.pending.exists() else []
-        batch = pd.concat(list(rows))
-        # A query made at the same moment is there before what is opened.
-        batch = batch.assign(order=batch["kind"].map({"query": 0}).fillna(1)).sort_values(["ts", "order", "query_id", "name"])
-        found = []
-        for r in batch.itertuples():
-            if r.kind == "query":
-                waiting = [*waiting, (r.ts, r.query_id, r.hint, _plain(r.clusters))][-MOST_PENDING:]
-                continue
-            left = []
-            for asked, query_id, hint, clusters in waiting:
-                hit = matching_cluster(r.name, _plain(clusters)) if 0 <= (r.ts - asked).total_seconds() <= TTL_S else None
-                if hit:
-                    found.append((key[0], r.ts, query_id, hint, hit["rank"], list(hit["node_ids"]), True, "implicit_expand"))
-                else:
-                    left.append((asked, query_id, hint, clusters))
-            waiting = left
-        if waiting:
-            rows = [(t, int(q), h, [(c["rank"], c["node_names"], c["node_ids"]) for c in _plain(cs)]) for t, q, h, cs in waiting]
-            self.pending.put(rows)
-        else:
-            self.pending.clear()
-        yield pd.DataFrame(found, columns=["session", "ts", "query_id", "hint", "cluster_rank", "node_ids", "accepted", "source"])
+        passed = timerValues.getCurrentWatermarkInMs()
+        new = [
+            (int(r["at"]), r["kind"], r["ts"], None if pd.isna(r["query_id"]) else int(r["query_id"]), r["hint"], r["name"], _tuples(_plain(r["clusters"])))
+            for part in rows
+            for r in part.to_dict("records")
+            if r["at"] >= passed
+        ]
+        if new:
+            self.early.appendList(new)
+            for at in {r[0] for r in new}:
+                self.handle.registerTimer(at)
+        yield pd.DataFrame([], columns=_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, found = timerValues.getCurrentWatermarkInMs(), []
+        early = [dict(zip(_EARLY, x, strict=True)) for x in self.early.get()] if self.early.exists() else []
+        ready = sorted((r for r in early if r["at"] <= passed), key=_order)
+        times = {}
+        waiting = []
+        for at, ts, query_id, hint, clusters in self.pending.get() if self.pending.exists() else []:
+            waiting.append((ts, query_id, hint, _plain(clusters)))
+            times[query_id] = at
+        for row in ready:
+            hits: list[tuple] = []
+            waiting = step(waiting, row | {"clusters": _plain(row["clusters"])}, self.ttl_s, hits)
+            found += [(key[0], *h, True, "implicit_expand") for h in hits]
+            if row["kind"] == "query":
+                times[row["query_id"]] = row["at"]
+        live = [(times[w[1]], w[0], w[1], w[2], _tuples(w[3])) for w in waiting if times[w[1]] + 1000 * self.ttl_s >= passed]
+        _put(self.early, [(*[r[c] for c in _EARLY[:-1]], _tuples(_plain(r["clusters"]))) for r in early if r["at"] > passed])
+        _put(self.pending, live)
+        if live:
+            self.handle.registerTimer(max(w[0] for w in live) + 1000 * self.ttl_s + 1)
+        yield pd.DataFrame(found, columns=_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
+def _put(state, rows: list[tuple]) -> None:
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
+def _order(row: dict) -> tuple:
+    """By time; a query made at the same moment is there before what is opened."""
+    return row["ts"], row["kind"] != "query", row["query_id"] or 0, row["name"] or ""
+
+
+def _tuples(clusters: list[dict]) -> list[tuple]:
+    return [(c["rank"], c["node_names"], c["node_ids"]) for c in clusters]
+
+
 def _plain(clusters) -> list[dict]:
     """Clusters from pandas, Arrow or state as plain lists."""
     out = []
     for c in clusters if clusters is not None else []:
-        rank, names, ids = (c[f] if isinstance(c, dict) else getattr(c, f) for f in ("rank", "node_names", "node_ids"))
+        rank, names, ids = (c[f] if isinstance(c, dict) else c[i] if isinstance(c, tuple) and not hasattr(c, f) else getattr(c, f) for i, f in enumerate(("rank", "node_names", "node_ids")))
         out.append({"rank": int(rank), "node_names": [str(x) for x in names], "node_ids": [str(x) for x in ids]})
     return out
 
 
-def implicit_feedback_stream(activity: DataFrame) -> DataFrame:
-    """Feedback rows from a stream of ACTIVITY rows, one session's state in one task.  Needs the RocksDB state store."""
-    return activity.groupBy("session").transformWithStateInPandas(PendingQueries(), outputStructType=OUT, outputMode="append", timeMode="None")
+def implicit_feedback_stream(activity: DataFrame, late_s: int = 0, ttl_s: int = TTL_S) -> DataFrame:
+    """Feedback rows from a stream of ACTIVITY rows, one session's state in one task.  Needs the RocksDB state store.
+
+    Rows may come up to ``late_s`` seconds late; what waits for the watermark is given out when a later row of any session moves it.
+    """
+    known = activity.where("session IS NOT NULL AND ts IS NOT NULL").withColumn("at", F.unix_millis("ts"))
+    marked = known.withWatermark("ts", f"{late_s} seconds")
+    return marked.groupBy("session").transformWithStateInPandas(PendingQueries(ttl_s), outputStructType=OUT, outputMode="append", timeMode="EventTime")
 
 
 def expiring_join(queries: DataFrame, expands: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
