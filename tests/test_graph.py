@@ -1,6 +1,8 @@
 """Golden cases of tokens, scores, clusters, feedback and evaluation."""
 
 import datetime as dt
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +12,14 @@ from loomgraph.functions.tokens import jaccard, normalize, split_tokens
 from loomgraph.operators import anchors as A
 from loomgraph.operators import feedback as B
 from loomgraph.operators import stats as X
+from loomgraph.operators import substrings
+from loomgraph.operators.numbering import numbered
+from loomgraph.operators.scratch import shared_folder
 from loomgraph.operators.similarity import score_pairs, token_idf
 from loomgraph.plans import evaluate as E
+from loomgraph.plans import registry
 from loomgraph.plans.query import expand, query
+from loomgraph.streaming import implicit
 
 
 def node(id, type, raw_name, service, fields=(), method=None, path=None, target=None):
@@ -181,3 +188,157 @@ def test_issue_activity(spark):
     rows = [("bot[bot]", "User", False, DAY), ("Owner", "User", False, DAY), ("u", "User", False, DAY), ("u", "User", True, DAY), ("u", "User", False, DAY - dt.timedelta(days=9))]
     issues = spark.createDataFrame(rows, "login string, user_type string, is_pull_request boolean, created_at timestamp")
     assert X.issue_activity(issues, "owner", F.lit(DAY)).first()[:] == (3, 1, 1, 1)
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    rows = spark.createDataFrame([(f"k{i * 37 % 101:03}", i) for i in range(101)], "k string, v int").repartition(7)
+    out = sorted((r["k"], r["n"]) for r in numbered(rows, "k", "n").collect())
+    assert out == [(f"k{i:03}", i + 1) for i in range(101)]
+    assert numbered(rows.limit(0), "k", "n").isEmpty()
+
+
+@pytest.mark.parametrize("chars", [4_000_000, 5])
+def test_contained_against_brute_force(spark, monkeypatch, chars):
+    rng = random.Random(1)
+    monkeypatch.setattr(substrings, "CHUNK_CHARS", chars)
+    word = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    texts = [(i, word(rng.randrange(12)), None if i % 7 == 0 else word(3)) for i in range(80)]
+    patterns = [(j, word(rng.choice([0, 1, 2, 2, 3]))) for j in range(12)] + [(90, None), (91, "ab"), (92, "ab")]
+    rows, asked = spark.createDataFrame(texts, "i int, t string, u string"), spark.createDataFrame(patterns, "j int, p string")
+    found = substrings.contained(rows, [F.col("t"), F.col("u")], asked, F.col("p"))
+    want = sorted((i, j) for i, t, u in texts for j, p in patterns if p is not None and (p in t or u is not None and p in u))
+    assert sorted((r["i"], r["j"]) for r in found.collect()) == want and found.columns == ["i", "t", "u", "j", "p"]
+    assert substrings.contained(rows, [F.col("t")], asked.limit(0), F.col("p")).isEmpty()
+
+
+def random_activity(seed, sessions=3, n=250):
+    """Rows of (session, kind, ts, query_id, hint, name, clusters), many within each other's time to live."""
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        at, s = DAY + dt.timedelta(seconds=rng.randrange(40 * n)), f"s{rng.randrange(sessions)}"
+        a, b = rng.choice("abcdefgh") * 2, rng.choice("abcdefgh") * 3
+        if rng.random() < 0.6:
+            out.append((s, "query", at, i, f"h{a}", None, [(1, [f"x{a}y"], [a]), (2, [b, "zz"], [b])]))
+        else:
+            out.append((s, "expand", at, i, None, rng.choice([a, b, f"x{a}y", "ZZ"]), None))
+    return out
+
+
+def plain_feedback(rows, ttl=600, most=20):
+    found = []
+    for s in {r[0] for r in rows}:
+        waiting = []
+        for _, kind, ts, query_id, hint, name, clusters in sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[1] != "query", r[3] if r[1] == "query" else 0, r[5] or "")):
+            if kind == "query":
+                waiting = [*waiting, (ts, query_id, hint, clusters)][-most:]
+                continue
+            for entry in list(waiting):
+                hit = next((c for c in entry[3] if any(name.lower() in n or n in name.lower() for n in c[1])), None)
+                if hit and ts - entry[0] <= dt.timedelta(seconds=ttl):
+                    found.append((s, ts, entry[1], entry[2], hit[0], tuple(hit[2])))
+                    waiting.remove(entry)
+    return sorted(found)
+
+
+def feedback_rows(frame):
+    return sorted((r["session"], r["ts"], r["query_id"], r["hint"], r["cluster_rank"], tuple(r["node_ids"])) for r in frame.collect())
+
+
+def split_activity(spark, rows):
+    every = spark.createDataFrame(rows, implicit.ACTIVITY)
+    return every.where("kind = 'query'"), every.where("kind = 'expand'")
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 250), (2, 900)])
+def test_implicit_feedback_against_plain_steps(spark, seed, n):
+    rows = random_activity(seed, n=n)
+    want = plain_feedback(rows)
+    assert len(want) > 20 and feedback_rows(B.implicit_feedback(*split_activity(spark, rows))) == want
+
+
+def test_a_session_waits_for_its_last_queries_only(spark):
+    asked = [("s", "query", DAY + dt.timedelta(seconds=i), i, f"h{i}", None, [(1, [f"name{i:02}"], [f"id{i}"])]) for i in range(25)]
+    opened = [("s", "expand", DAY + dt.timedelta(seconds=30 + i), 100 + i, None, f"name{i:02}", None) for i in (0, 4, 5, 24)]
+    found = feedback_rows(B.implicit_feedback(*split_activity(spark, asked + opened)))
+    assert [r[2] for r in found] == [5, 24] and found == plain_feedback(asked + opened)
+
+
+def test_ratings_against_plain_search(spark):
+    rng, rows = random.Random(5), random_activity(6, n=400)
+    rated = [(i, f"s{rng.randrange(3)}", DAY + dt.timedelta(seconds=rng.randrange(16_000)), f"h{rng.choice('abcdefgh') * 2}", rng.choice([1, 2, 3])) for i in range(300)]
+    out = B.rating_nodes(spark.createDataFrame(rated, "rating_id bigint, session string, ts timestamp, hint string, cluster_rank int"), split_activity(spark, rows)[0])
+    for r in out.collect():
+        met = [q for q in rows if q[1] == "query" and (q[0], q[4]) == (r["session"], r["hint"]) and dt.timedelta(0) <= r["ts"] - q[2] <= dt.timedelta(seconds=600)]
+        ids = [(q[2], q[3], c[2]) for q in met for c in q[6] if c[0] == r["cluster_rank"]]
+        assert r["node_ids"] == (max(ids)[2] if ids else [])
+
+
+def streamed(spark, tmp_path, batches, late_s=0):
+    """What the stream gives where each batch of rows is a micro-batch of its own."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, implicit.ACTIVITY).coalesce(1).write.parquet(f"{tmp_path}/in/{i:03}")
+        os.utime(f"{tmp_path}/in/{i:03}", (i, i))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, implicit.STATE_STORE)
+    try:
+        source = spark.readStream.schema(implicit.ACTIVITY).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        out = implicit.implicit_feedback_stream(source, late_s)
+        out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(out.schema).parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_stream_equals_the_batch_whatever_the_micro_batches(spark, tmp_path):
+    rows = sorted(random_activity(3, n=200), key=lambda r: r[2])
+    end = [("", "expand", rows[-1][2] + dt.timedelta(days=1), None, None, "-", None)]
+    cuts = [rows[i : i + 50] for i in range(0, 200, 50)]
+    cuts = [list(reversed(c)) for c in cuts] + [end]
+    want = plain_feedback(rows)
+    assert len(want) > 10 and feedback_rows(streamed(spark, tmp_path, cuts)) == want
+
+
+def test_late_rows_of_the_stream(spark, tmp_path):
+    at = lambda s: DAY + dt.timedelta(seconds=s)
+    shown = [(1, ["name"], ["id"])]
+    batches = [
+        [("s", "query", at(0), 1, "h", None, shown), ("t", "query", at(0), 2, "h", None, shown)],
+        [("s", "expand", at(100), None, None, "name", None)],
+        # Late, but within the allowance; then beyond it.
+        [("t", "expand", at(60), None, None, "name", None)],
+        [("u", "query", at(2000), 3, "h", None, shown)],
+        [("u", "expand", at(900), None, None, "name", None), ("u", "expand", at(2001), None, None, "name", None)],
+        [("", "expand", at(9000), None, None, "-", None)],
+    ]
+    assert [r[:3] for r in feedback_rows(streamed(spark, tmp_path, batches, 60))] == [("s", at(100), 1), ("t", at(60), 2), ("u", at(2001), 3)]
+
+
+def test_expiring_join(spark, tmp_path):
+    at = lambda s: DAY + dt.timedelta(seconds=s)
+    spark.createDataFrame([("s", 1, at(0)), ("s", 2, at(500)), ("t", 3, at(0))], "session string, query_id bigint, asked timestamp").write.parquet(f"{tmp_path}/q")
+    spark.createDataFrame([("s", "n", at(590)), ("s", "m", at(1101)), ("t", "n", at(601))], "session string, name string, opened timestamp").write.parquet(f"{tmp_path}/e")
+    q, e = (spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{x}").schema).parquet(f"{tmp_path}/{x}") for x in "qe")
+    implicit.expiring_join(q, e).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["query_id"], r["name"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, "n"), (2, "n")]
+
+
+def test_changed_tables_make_a_new_graph(spark, tmp_path):
+    part = spark.createDataFrame([(1, "red bolt", "Brand#1", "SMALL")], "p_partkey bigint, p_name string, p_brand string, p_type string")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    one = registry.inputs(spark, str(tmp_path))
+    assert one.nodes.count() == 1 and registry.inputs(spark, str(tmp_path)) is one
+    part.union(spark.createDataFrame([(2, "old gear", "Brand#1", "SMALL")], part.schema)).write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+    assert registry.inputs(spark, str(tmp_path)).nodes.count() == 2
+
+
+def test_intermediates_are_shared_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            applicationId, master = "a", "local-cluster[3,2,1024]"
+
+    with pytest.raises(ValueError):
+        shared_folder(Session(), "x")
