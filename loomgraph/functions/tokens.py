@@ -50,16 +50,6 @@ def path_variables(path: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(path, F.lit("")), F.lit(r"\{(\w+)\}"), 1)
 
 
-def clean_call_path(path: Column) -> Column:
-    """A called path as shown: template and colon variables become {param}, the query goes."""
-    shown = F.regexp_replace(F.regexp_replace(path, r"\$\{[^}]+\}", "{param}"), r":\w+", "{param}")
-    return F.split_part(shown, F.lit("?"), F.lit(1))
-
-
-def without_domain(url: Column) -> Column:
-    return F.regexp_replace(url, "^https?://[^/]+", "")
-
-
 def token_count_proxy(text: Column) -> Column:
     """Words and signs: a stand-in for a tokeniser's count where no vocabulary is at hand."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\w+|[^\w\s]"))

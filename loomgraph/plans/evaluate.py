@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +110,24 @@ def serialized(results: DataFrame, top: int = 3) -> DataFrame:
     )
 
 
+def token_counts(rows: DataFrame, text: str, ranks_file: str, pattern: str, name: str = "output_tokens") -> DataFrame:
+    """``rows`` with the number of tokens of a text by the vocabulary of a rank file that every executor can open; null has none."""
+    columns = [c for c in rows.columns if c != name]
+    at = columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
+
+        with open(ranks_file, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for batch in batches:
+            found = [len(encoding.encode_ordinary(x)) if x else 0 for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, name])
+
+    return rows.select(*columns).mapInArrow(run, rows.select(*columns).withColumn(name, F.lit(0).cast("bigint")).schema)
+
+
 def match_lines(output: DataFrame, prefix: str) -> DataFrame:
     """(path, line, text) of ``path:line:text`` rows, without the prefix, sorted; other rows go."""
     parsed = F.regexp_extract("value", r"^([^:]*):(\d+):(.*)$", 1)

@@ -366,6 +366,15 @@ def serialized_answers(t):
     return back.select("hint_id", F.size("p").cast("bigint").alias("n_clusters"), F.array_join(ids, ";").alias("ids"))
 
 
+@query()
+def payload_tokens(t):
+    """Tokens of each hint's payload, by a public vocabulary; SQL has none."""
+    import public_tokenizers
+
+    counted = E.token_counts(E.serialized(t.answers), "payload", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return counted.select("hint_id", F.length("payload").cast("bigint").alias("n_chars"), "output_tokens")
+
+
 _NAMES = f"nm AS (SELECT DISTINCT lower(w1 || {O.cap('w2')}) AS name FROM p0)"
 
 

@@ -1,5 +1,6 @@
 """Golden cases of tokens, scores, clusters, feedback and evaluation."""
 
+import base64
 import datetime as dt
 import os
 import random
@@ -20,6 +21,7 @@ from loomgraph.plans import evaluate as E
 from loomgraph.plans import registry
 from loomgraph.plans.query import expand, query
 from loomgraph.streaming import implicit
+from oracle import DATA
 
 
 def node(id, type, raw_name, service, fields=(), method=None, path=None, target=None):
@@ -178,6 +180,20 @@ def test_metrics(spark):
     assert (scores["hits"], scores["mrr"]) == (2, 0.5) and scores["hit_rate"] == pytest.approx(2 / 3)
 
 
+def test_payload_tokens_against_the_encoder(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    file = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(file, "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [None, "", "createOrder", '{"id":"a::b","score":0.5}', "naïve 漢字  \n\n x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = E.token_counts(rows, "t", file, public_tokenizers.PATTERN).collect()
+    assert [r["output_tokens"] for r in sorted(found)] == [len(encoding.encode_ordinary(t or "")) for t in texts]
+    answers = registry.QUERIES["payload_tokens"](spark, DATA).collect()
+    assert answers and all(0 < r["output_tokens"] < r["n_chars"] for r in answers)
+
+
 def test_stale(spark):
     state = spark.createDataFrame([("a", "h", DAY), ("b", "h", DAY - dt.timedelta(days=7))], schema.REPO_STATE)
     assert X.stale(state, DAY).first()["age_days"] == 7 and X.stale(state, DAY).first()["warning"]
