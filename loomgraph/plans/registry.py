@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,7 @@ from loomgraph.operators.scratch import cut, shared_folder
 from loomgraph.plans import evaluate as E
 from loomgraph.plans import oracles as O
 from loomgraph.plans import query as Q
+from loomgraph.plans.engine import scan_sources
 from loomgraph.sources import catalog, declarative, detect, parsed, rendered
 from loomgraph.sources.files import fingerprints as file_fingerprints
 
@@ -632,6 +634,71 @@ def fingerprints(t):
     return file_fingerprints(rows)
 
 
+# What a store keeps
+
+
+def _store(t: Inputs) -> K.GraphStore:
+    return K.GraphStore(t.spark, shared_folder(t.spark, "store"))
+
+
+@query(f"WITH {O.NODES} SELECT id, CASE WHEN service = 'svc-1' THEN upper(raw_name) ELSE raw_name END AS raw_name, service FROM nodes UNION ALL SELECT 'new::' || r_name, r_name, 'svc-9' FROM region")
+def store_upsert(t):
+    """Nodes stored, then some changed and some new ones upserted, twice in one call."""
+    store = _store(t)
+    store.overwrite("nodes", t.nodes)
+    changed = t.nodes.where("service = 'svc-1'")
+    first, last = (changed.withColumns({"raw_name": x, "seq": F.lit(n)}) for n, x in ((1, F.lit("old")), (2, F.upper("raw_name"))))
+    new = t.table("region").select(F.concat(F.lit("new::"), "r_name").alias("id"), F.lit("custom").alias("type"), F.col("r_name").alias("raw_name"), F.lit("svc-9").alias("service"), F.lit(1).alias("seq"))
+    store.upsert_nodes(first.unionByName(last).unionByName(new, allowMissingColumns=True))
+    return store.read("nodes").select("id", "raw_name", "service")
+
+
+@query(f"WITH {O.NODES} SELECT id, service FROM nodes WHERE service NOT IN ('svc-1', 'svc-2') UNION ALL SELECT 'new::' || r_name, 'svc-1' FROM region")
+def store_replace(t):
+    store = _store(t)
+    store.overwrite("nodes", t.nodes)
+    new = t.table("region").select(F.concat(F.lit("new::"), "r_name").alias("id"), F.lit("custom").alias("type"), F.col("r_name").alias("raw_name"), F.lit("svc-1").alias("service"))
+    store.replace_services(new, ["svc-1", "svc-2"])
+    return store.read("nodes").select("id", "service")
+
+
+@query(f"WITH {O.GRAPH} SELECT 'edge' AS kind, source_id || '>' || target_id AS key, total_score AS value FROM edges UNION ALL SELECT 'weight', token, round(idf, 6) FROM idf")
+def store_edges_and_weights(t):
+    """Edges and weights written over older ones."""
+    store = _store(t)
+    for rows in (t.edges.where("total_score < 0.5"), t.edges):
+        store.overwrite("edges", rows)
+    store.overwrite("token_idf", t.idf)
+    edges = store.read("edges").select(F.lit("edge").alias("kind"), F.concat("source_id", F.lit(">"), "target_id").alias("key"), F.col("total_score").alias("value"))
+    return edges.unionByName(store.read("token_idf").select(F.lit("weight").alias("kind"), F.col("token").alias("key"), r6("idf").alias("value")))
+
+
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'new' ELSE 'old' END AS git_hash FROM nation WHERE n_nationkey % 5 > 0")
+def store_state(t):
+    store, nation = _store(t), t.table("nation")
+    at = F.lit(dt.datetime(2024, 1, 1)).alias("scanned_at")
+    store.upsert_state(nation.where("n_nationkey % 3 > 0 OR n_nationkey > 10").select(F.col("n_name").alias("name"), F.lit("old").alias("git_hash"), at))
+    store.upsert_state(nation.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("name"), F.lit("new").alias("git_hash"), at))
+    store.prune(nation.where("n_nationkey % 5 > 0").select(F.col("n_name").alias("service")))
+    return store.read("repo_state").select("name", "git_hash")
+
+
+@query(f"WITH {O.NODES}, {O.HINTS}, {O.EVENTS} SELECT hint, accepted, CASE WHEN accepted THEN 'manual' ELSE 'other' END AS source, count(*) AS n FROM fb GROUP BY 1, 2, 3")
+def store_feedback(t):
+    """Feedback appended twice, first in an older layout without a source."""
+    store, rows = _store(t), catalog.event_feedback(t.table("events"), t.nodes, t.hints)
+    rows.where("accepted").drop("source").write.parquet(f"{store.root}/feedback/v0")
+    store.append_feedback(rows.where("NOT accepted").withColumn("source", F.lit("other")))
+    return store.read("feedback").groupBy("hint", "accepted", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {O.GRAPH} SELECT source_id, target_id, row_number() OVER (ORDER BY total_score DESC, source_id, target_id) AS rank FROM edges")
+def edges_ranked(t):
+    """Edges, the strongest first."""
+    key = F.struct((-F.col("total_score")).alias("o"), "source_id", "target_id")
+    return numbered(t.edges.withColumn("k", key), "k", "rank").select("source_id", "target_id", "rank")
+
+
 # Scanners over rendered sources
 
 _NODE = ["id", "type", "raw_name", "service", "method", "path", "target_service"]
@@ -762,6 +829,18 @@ def scan_cube(t):
     return _scanned(parsed.scan_cubes(rendered.cube_files(t.table("region"))))
 
 
+_EVERY = ["scan_http", "scan_graphql", "scan_fastapi", "scan_frontend_gql", "scan_kafka", "scan_cube"]
+
+
+@query(" UNION ALL ".join(f"(SELECT * FROM ({SQL[n]}))" for n in _EVERY))
+def scan_union(t):
+    """All files of a system by all of these scanners, by name and in one plan."""
+    part, nation, region = t.table("part"), t.table("nation"), t.table("region")
+    every = [rendered.brand_files(part), rendered.schema_files(nation), rendered.route_files(nation), rendered.operation_files(nation), rendered.kafka_files(region), rendered.cube_files(region)]
+    files = functools.reduce(DataFrame.unionByName, every)
+    return _scanned(scan_sources(files, ["http", {"type": "graphql", "_why": "schemas"}, "fastapi", "frontend_graphql", "kafka", "cube"]))
+
+
 _KIND = "CASE r_regionkey WHEN 0 THEN 'cube' WHEN 1 THEN 'graphql,ts_http_outbound' WHEN 2 THEN 'frontend_graphql,frontend_rest' WHEN 3 THEN 'graphql,http,kafka,backend_clients' ELSE 'fastapi' END"
 
 
