@@ -151,11 +151,12 @@ class PreTokenTree:
         return new, len(pieces)
 
 
-def _mapped(docs: DataFrame, used: list[str], new: str, make: Callable[[], Callable[..., tuple]]) -> DataFrame:
-    """``docs`` with columns made row by row from the used ones; columns with the new names are replaced."""
+def _mapped(docs: DataFrame, used: list[str], new: str, make: Callable[[], Callable[..., tuple]], without: Iterable[str] = ()) -> DataFrame:
+    """``docs`` with columns made row by row from the used ones, and ``without`` some; columns with the new names are replaced."""
     names = [x.split()[0] for x in new.split(", ")]
     columns = [c for c in docs.columns if c not in names]
-    out = docs.select(*columns)
+    kept = [c for c in columns if c not in without]
+    out = docs.select(*kept)
     for x in new.split(", "):
         out = out.withColumn(x.split()[0], F.lit(None).cast(x.split(" ", 1)[1]))
     schema = out.schema
@@ -170,25 +171,37 @@ def _mapped(docs: DataFrame, used: list[str], new: str, make: Callable[[], Calla
                 part = batch.slice(at, 1000)
                 given = [part.column(columns.index(c)).to_pylist() for c in used]
                 rows = [step(*x) for x in zip(*given, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], [*part.schema.names, *names])
+                made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*[part.column(columns.index(c)) for c in kept], *made], [*kept, *names])
 
     return docs.select(*columns).mapInArrow(run, schema)
 
 
 def build_trees(docs: DataFrame, text: str = "text", ranks_file: str | None = None) -> DataFrame:
-    """``docs`` with n_tokens and tree_lengths, tree_counts: the leaves of each text's tree, to be stored; null counts as empty."""
+    """``docs`` with n_pretokens, n_tokens and tree_lengths, tree_counts: the leaves of each text's tree, to be stored as 32-bit numbers; null counts as empty."""
 
     def make():
         encoder = Encoder(ranks_file)
 
         def step(body):
             tree = encoder.tree(body or "")
-            lengths, counts = tree.flat()
-            return tree.n_tokens, lengths, counts
+            return _stored(tree)
 
         return step
 
-    return _mapped(docs, [text], "n_tokens bigint, tree_lengths array<int>, tree_counts array<int>", make)
+    return _mapped(docs, [text], TREE, make)
+
+
+TREE = "n_pretokens bigint, n_tokens bigint, tree_lengths binary, tree_counts binary"
+
+
+def _stored(tree: PreTokenTree) -> tuple[int, int, bytes, bytes]:
+    lengths, counts = tree.flat()
+    return len(lengths), tree.n_tokens, lengths.astype("<i4").tobytes(), counts.astype("<i4").tobytes()
+
+
+def _planted(lengths: bytes, counts: bytes) -> PreTokenTree:
+    return PreTokenTree(*(np.frombuffer(x, "<i4").astype(np.int64) for x in (lengths, counts)))
 
 
 def update_trees(stored: DataFrame, edits: str = "edits", text: str = "text", ranks_file: str | None = None) -> DataFrame:
@@ -202,14 +215,13 @@ def update_trees(stored: DataFrame, edits: str = "edits", text: str = "text", ra
         encoder = Encoder(ranks_file)
 
         def step(body, lengths, counts, todo):
-            tree, body, n = PreTokenTree(np.array(lengths, np.int64), np.array(counts, np.int64)), body or "", 0
-            body, n = _apply(tree, body, todo, encoder)
-            return tree.n_tokens, *tree.flat(), body, n
+            tree = _planted(lengths, counts)
+            body, n = _apply(tree, body or "", todo, encoder)
+            return *_stored(tree), body, n
 
         return step
 
-    new = "n_tokens bigint, tree_lengths array<int>, tree_counts array<int>, __text string, n_encoded bigint"
-    done = _mapped(stored.withColumnsRenamed({"tree_lengths": "__l", "tree_counts": "__c"}), [text, "__l", "__c", edits], new, make)
+    done = _mapped(stored.withColumnsRenamed({"tree_lengths": "__l", "tree_counts": "__c"}), [text, "__l", "__c", edits], f"{TREE}, __text string, n_encoded bigint", make)
     return done.withColumn(text, F.col("__text")).drop("__text", "__l", "__c")
 
 
@@ -230,9 +242,19 @@ def count_edited(docs: DataFrame, edits: str = "edits", text: str = "text", rank
     new = ("n_pretokens", "n_tokens", "n_tokens_after", "n_encoded")
     keep = [c for c in docs.columns if c not in (*new, text, edits)]
     stored = materialise(build_trees(docs.select(*[c for c in docs.columns if c not in new]), text, ranks_file), "trees")
-    known = stored.withColumns({"n_pretokens": F.size("tree_lengths").cast("bigint"), "__n": F.col("n_tokens")})
-    done = update_trees(known, edits, text, ranks_file)
-    return done.select(*keep, "n_pretokens", F.col("__n").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), "n_encoded")
+
+    def make():
+        encoder = Encoder(ranks_file)
+
+        def step(body, lengths, counts, todo):
+            tree = _planted(lengths, counts)
+            _, n = _apply(tree, body or "", todo, encoder)
+            return tree.n_tokens, n
+
+        return step
+
+    done = _mapped(stored, [text, "tree_lengths", "tree_counts", edits], "n_tokens_after bigint, n_encoded bigint", make, [text, edits, "tree_lengths", "tree_counts"])
+    return done.select(*keep, *new)
 
 
 #: What the query's three edits insert.
