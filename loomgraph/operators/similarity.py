@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scores as S
 
 MIN_SCORE = 0.12
+#: Holders of one token that a task of the join meets with all others.
+HOLDERS_A_TASK = 1000
 FRONTEND = ["frontend_query", "frontend_mutation", "frontend_subscription"]
 BFF = ["graphql_query", "graphql_mutation", "graphql_subscription", "graphql_type"]
 
@@ -63,8 +65,12 @@ def candidate_pairs(weighted: DataFrame, min_score: float) -> DataFrame:
     upto = own.orderBy("weight", "token").rowsBetween(Window.unboundedPreceding, 0)
     tokens = tokens.withColumn("upto", F.sum("weight").over(upto)).withColumn("all", F.sum("weight").over(own))
     keys = tokens.where((F.col("upto") >= bound * F.col("all") * (1 - 1e-9)) & (F.col("weight") > 0)).select("id", "token").distinct()
-    a, b = keys.select(F.col("id").alias("a"), "token"), keys.select(F.col("id").alias("b"), "token")
-    return a.join(b, "token").where("a < b").select("a", "b").distinct()
+    # Holders of a common token are dealt out by salt: each holder of one side meets all of the other in one task of several.
+    held = keys.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / HOLDERS_A_TASK).cast("int").alias("salts"))
+    dealt = keys.join(held, "token")
+    a = dealt.select(F.col("id").alias("a"), "token", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    b = dealt.select(F.col("id").alias("b"), "token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return a.join(b, ["token", "salt"]).where("a < b").select("a", "b").distinct()
 
 
 def edge_direction(a: str, b: str, bff: Collection[str] | None) -> tuple[Column, Column]:

@@ -43,6 +43,17 @@ def scan_sources(files: DataFrame, scanners: Iterable[str | Mapping[str, Any]],
     return out
 
 
+def scan_services(files: DataFrame, scanners: Mapping[str, list], warnings: list[str] | None = None) -> DataFrame:
+    """Scanned nodes of all services, each by its own scanners; services with like scanners are scanned together."""
+    alike: dict[str, tuple[list, list[str]]] = {}
+    for name, some in scanners.items():
+        alike.setdefault(repr(some), (some, []))[1].append(name)
+    out = scan_sources(files, [])
+    for some, names in alike.values():
+        out = out.unionByName(scan_sources(files.where(F.col("service").isin(names)), some, warnings), allowMissingColumns=True)
+    return out
+
+
 @dataclass
 class ScanReport:
     """What a scan did: services read anew, left as they were, dropped, and not found; and what should be looked at."""
@@ -98,17 +109,10 @@ class Engine:
         return report.read
 
     def _read(self, files: DataFrame, report: ScanReport) -> None:
-        """Scans the services of the report and replaces their nodes; those with like scanners are scanned together."""
-        alike: dict[str, tuple[list, list[str]]] = {}
-        for name in report.read:
-            scanners = report.scanners[name]
-            alike.setdefault(repr(scanners), (scanners, []))[1].append(name)
-            if not scanners:
-                report.warnings.append(f"{name}: no scanner suits its files; name some in the configuration")
-        found = None
-        for scanners, names in alike.values():
-            part = scan_sources(files.where(F.col("service").isin(names)), scanners, report.warnings)
-            found = part if found is None else found.unionByName(part, allowMissingColumns=True)
+        """Scans the services of the report and replaces their nodes."""
+        scanners = {n: report.scanners[n] for n in report.read}
+        report.warnings += [f"{n}: no scanner suits its files; name some in the configuration" for n, s in scanners.items() if not s]
+        found = scan_services(files, scanners, report.warnings)
         nodes = cut(normalize(last_wins(found, ["id"], "seq")), "scanned")
         self.store.replace_services(nodes, report.read)
         full = {r["service"] for r in nodes.select("service").distinct().collect()}

@@ -28,9 +28,10 @@ def has(kind: str) -> str:
 
 
 _CALLS = "'http_endpoint', 'frontend_rest', 'backend_client_call'"
-NODES = f"""
-pt AS (SELECT p_brand, p_type, split_part(p_name, ' ', 1) || s || ' ' || split_part(p_name, ' ', 2) || s AS p_name, lower(p_type) || s AS p_kind
-  FROM (SELECT *, translate((p_partkey // {PARTS_A_GROUP})::varchar, '0123456789', 'abcdefghij') AS s FROM part)),
+PARTS = f"""
+pt AS (SELECT p_brand, p_type, s AS p_group, split_part(p_name, ' ', 1) || s || ' ' || split_part(p_name, ' ', 2) || s AS p_name, lower(p_type) || s AS p_kind
+  FROM (SELECT *, translate((p_partkey // {PARTS_A_GROUP})::varchar, '0123456789', 'abcdefghij') AS s FROM part))"""
+NODES = f"""{PARTS},
 p0 AS (SELECT p_name, p_type, p_kind, min(p_brand) AS brand, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, list_position({KINDS}, p_type) AS t FROM pt GROUP BY 1, 2, 3),
 p1 AS (SELECT *, {TYPES}[(ascii(w1) + 2 * ascii(w2) + 3 * t) % {len(TYPES)} + 1] AS type, 'svc-' || (ascii(w2) + t) % 5 AS service FROM p0),
 p2 AS (SELECT *, CASE WHEN type IN ({_CALLS}) THEN {VERBS}[(len(p_name) + t) % 5 + 1] WHEN type = 'kafka_topic' THEN CASE WHEN t % 2 = 0 THEN 'produce' ELSE 'consume' END END AS method,

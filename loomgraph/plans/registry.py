@@ -23,8 +23,9 @@ from loomgraph.operators.scratch import cut, shared_folder
 from loomgraph.plans import evaluate as E
 from loomgraph.plans import oracles as O
 from loomgraph.plans import query as Q
-from loomgraph.plans.engine import scan_sources
+from loomgraph.plans.engine import scan_services, scan_sources
 from loomgraph.sources import catalog, declarative, detect, parsed, rendered
+from loomgraph.sources.config import fill_scanners
 from loomgraph.sources.files import fingerprints as file_fingerprints
 
 AS_OF = dt.datetime(2024, 1, 31)
@@ -713,17 +714,33 @@ def _rows(*selects: str) -> str:
     return " UNION ALL ".join(f"SELECT * FROM ({s}) AS x({', '.join([*_NODE, 'fields'])})" for s in selects)
 
 
-_NT = "(SELECT lower(replace(n_name, '_', '')) AS n FROM nation)"
+_GROUPS = "(SELECT DISTINCT p_group FROM pt)"
+
+
+def _brands(t: Inputs) -> DataFrame:
+    return t.parts.withColumn("p_brand", F.concat("p_brand", "p_group"))
+
+
+def _nations(t: Inputs) -> DataFrame:
+    return catalog.by_group(t.table("nation"), "n_name", t.parts)
+
+
+def _regions(t: Inputs) -> DataFrame:
+    return catalog.by_group(t.table("region"), "r_name", t.parts)
+
+
+_NT = f"(WITH {O.PARTS} SELECT lower(replace(n_name, '_', '')) || p_group AS n FROM nation, {_GROUPS})"
 _NC = "upper(substr(n, 1, 1)) || substr(n, 2)"
 _RG = "(SELECT lower(replace(r_name, ' ', '')) AS r FROM region)"
+_RGS = f"(WITH {O.PARTS} SELECT lower(replace(r_name, ' ', '')) || p_group AS r FROM region, {_GROUPS})"
 _RC = "upper(substr(r, 1, 1)) || substr(r, 2)"
 
 
-@query(f"""WITH k AS (SELECT DISTINCT replace(lower(p_brand), '#', '') AS b, lower(p_type) AS k FROM part)
+@query(f"""WITH {O.PARTS}, k AS (SELECT DISTINCT replace(lower(p_brand || p_group), '#', '') AS b, lower(p_type) AS k FROM pt)
 {_rows("SELECT 'svc-' || b || '::http::GET::/' || b || '/' || k || '/{id}::get' || " + O.cap('k') + ", 'http_endpoint', 'get' || " + O.cap('k') + ", 'svc-' || b, 'GET', '/' || b || '/' || k || '/{id}', NULL, 'id' FROM k",
        "SELECT DISTINCT 'svc-' || b || '::http::POST::/' || b || '::add', 'http_endpoint', 'add', 'svc-' || b, 'POST', '/' || b, NULL, '' FROM k")}""")
 def scan_http(t):
-    return _scanned(parsed.scan_http(rendered.brand_files(t.table("part"))))
+    return _scanned(parsed.scan_http(rendered.brand_files(_brands(t))))
 
 
 @query(_rows(
@@ -732,7 +749,7 @@ def scan_http(t):
     f"SELECT 'gateway::gql::type::' || {_NC}, 'graphql_type', {_NC}, 'gateway', NULL, NULL, NULL, 'key,name' FROM {_NT}",
 ))
 def scan_graphql(t):
-    return _scanned(parsed.scan_graphql(rendered.schema_files(t.table("nation"))))
+    return _scanned(parsed.scan_graphql(rendered.schema_files(_nations(t))))
 
 
 @query(_rows(
@@ -740,7 +757,7 @@ def scan_graphql(t):
     f"SELECT 'api::http::POST::/' || n || '::add_' || n, 'http_endpoint', 'add_' || n, 'api', 'POST', '/' || n, NULL, '' FROM {_NT}",
 ))
 def scan_fastapi(t):
-    return _scanned(parsed.scan_fastapi(rendered.route_files(t.table("nation"))))
+    return _scanned(parsed.scan_fastapi(rendered.route_files(_nations(t))))
 
 
 @query(_rows(
@@ -749,11 +766,11 @@ def scan_fastapi(t):
     f"SELECT 'web::frontend::query::list' || {_NC}, 'frontend_query', 'list' || {_NC}, 'web', NULL, NULL, NULL, '' FROM {_NT}",
 ))
 def scan_frontend_gql(t):
-    return _scanned(parsed.scan_frontend_graphql(rendered.operation_files(t.table("nation"))))
+    return _scanned(parsed.scan_frontend_graphql(rendered.operation_files(_nations(t))))
 
 
 def _topic(name: str, role: str, fields: str) -> str:
-    return f"SELECT r || '::kafka::{role}::' || {name}, 'kafka_topic', {name}, r, '{role}', NULL, NULL, '{fields}' FROM {_RG}"
+    return f"SELECT r || '::kafka::{role}::' || {name}, 'kafka_topic', {name}, r, '{role}', NULL, NULL, '{fields}' FROM {_RGS}"
 
 
 @query(_rows(
@@ -765,28 +782,28 @@ def _topic(name: str, role: str, fields: str) -> str:
     _topic("r || '-direct'", "produce", "produce"),
 ))
 def scan_kafka(t):
-    return _scanned(declarative.scan_kafka(rendered.kafka_files(t.table("region"))))
+    return _scanned(declarative.scan_kafka(rendered.kafka_files(_regions(t))))
 
 
-@query(f"SELECT r AS service, 'orderCreated' AS key, r || '-orders' AS topic FROM {_RG} UNION ALL SELECT r, 'refund', r || '-refunds' FROM {_RG}")
+@query(f"SELECT r AS service, 'orderCreated' AS key, r || '-orders' AS topic FROM {_RGS} UNION ALL SELECT r, 'refund', r || '-refunds' FROM {_RGS}")
 def yaml_topics(t):
-    return declarative.yaml_topics(rendered.kafka_files(t.table("region"))).select("service", "key", "topic")
+    return declarative.yaml_topics(rendered.kafka_files(_regions(t))).select("service", "key", "topic")
 
 
-@query(f"SELECT r AS service, 'orderCreated' AS key, r || '-orders' AS topic FROM {_RG} UNION ALL SELECT r, 'refund', '''' || r || '-refunds''' FROM {_RG} UNION ALL SELECT r, 'group', 'g' FROM {_RG}")
+@query(f"SELECT r AS service, 'orderCreated' AS key, r || '-orders' AS topic FROM {_RGS} UNION ALL SELECT r, 'refund', '''' || r || '-refunds''' FROM {_RGS} UNION ALL SELECT r, 'group', 'g' FROM {_RGS}")
 def yaml_topic_lines(t):
-    return declarative.topic_lines(rendered.kafka_files(t.table("region"))).select("service", "key", "topic")
+    return declarative.topic_lines(rendered.kafka_files(_regions(t))).select("service", "key", "topic")
 
 
-@query(f"SELECT r AS service, key, CASE key WHEN 'refund' THEN r || '-refunds' ELSE key END AS topic FROM {_RG}, (SELECT unnest(['refund', 'missing']) AS key)")
+@query(f"SELECT r AS service, key, CASE key WHEN 'refund' THEN r || '-refunds' ELSE key END AS topic FROM {_RGS}, (SELECT unnest(['refund', 'missing']) AS key)")
 def kafka_prop_resolve(t):
-    files = rendered.kafka_files(t.table("region"))
+    files = rendered.kafka_files(_regions(t))
     refs = files.select("service").distinct().select("service", F.explode(F.array(F.lit("refund"), F.lit("missing"))).alias("key"))
     return declarative.resolve_properties(refs, declarative.yaml_topics(files)).select("service", "key", "topic")
 
 
 def _rest(verb: str, path: str, name: str, fields: str) -> str:
-    return f"SELECT 'web::rest::{verb}::' || {path} || '::' || {name}, 'frontend_rest', {name}, 'web', '{verb}', {path}, 'base-svc', {fields} FROM {_RG}"
+    return f"SELECT 'web::rest::{verb}::' || {path} || '::' || {name}, 'frontend_rest', {name}, 'web', '{verb}', {path}, 'base-svc', {fields} FROM {_RGS}"
 
 
 @query(_rows(
@@ -795,7 +812,7 @@ def _rest(verb: str, path: str, name: str, fields: str) -> str:
     _rest("POST", "'/v2/' || r || '/stream'", f"'send' || {_RC}", "'v2,' || r || ',stream'"),
 ))
 def scan_frontend_rest(t):
-    return _scanned(parsed.scan_frontend_rest(rendered.rest_files(t.table("region")), {"BaseApi": "base-svc"}))
+    return _scanned(parsed.scan_frontend_rest(rendered.rest_files(_regions(t)), {"BaseApi": "base-svc"}))
 
 
 def _client(verb: str, path: str, name: str, fields: str) -> str:
@@ -824,9 +841,9 @@ def scan_ts_outbound(t):
     return _scanned(parsed.scan_ts_outbound(rendered.outbound_files(t.table("region")), url_prefix_map={"/api/asia": "asia-svc"}, client_name_map={"Europe": "eu"}))
 
 
-@query(_rows(f"SELECT 'cubes::cube::' || {_RC}, 'cube_query', {_RC}, 'cubes', NULL, NULL, NULL, 'count,total' || {_RC} || ',key' FROM {_RG}"))
+@query(_rows(f"SELECT 'cubes::cube::' || {_RC}, 'cube_query', {_RC}, 'cubes', NULL, NULL, NULL, 'count,total' || {_RC} || ',key' FROM {_RGS}"))
 def scan_cube(t):
-    return _scanned(parsed.scan_cubes(rendered.cube_files(t.table("region"))))
+    return _scanned(parsed.scan_cubes(rendered.cube_files(_regions(t))))
 
 
 _EVERY = ["scan_http", "scan_graphql", "scan_fastapi", "scan_frontend_gql", "scan_kafka", "scan_cube"]
@@ -835,12 +852,21 @@ _EVERY = ["scan_http", "scan_graphql", "scan_fastapi", "scan_frontend_gql", "sca
 @query(" UNION ALL ".join(f"(SELECT * FROM ({SQL[n]}))" for n in _EVERY))
 def scan_union(t):
     """All files of a system by all of these scanners, by name and in one plan."""
-    part, nation, region = t.table("part"), t.table("nation"), t.table("region")
+    part, nation, region = _brands(t), _nations(t), _regions(t)
     every = [rendered.brand_files(part), rendered.schema_files(nation), rendered.route_files(nation), rendered.operation_files(nation), rendered.kafka_files(region), rendered.cube_files(region)]
     files = functools.reduce(DataFrame.unionByName, every)
     return _scanned(scan_sources(files, ["http", {"type": "graphql", "_why": "schemas"}, "fastapi", "frontend_graphql", "kafka", "cube"]))
 
 
+@query(f"SELECT * FROM ({SQL['scan_http']}) UNION ALL SELECT * FROM ({SQL['scan_kafka']})")
+def scan_without_lists(t):
+    """Repositories that name no scanners: what suits their files is found first."""
+    files = rendered.brand_files(_brands(t)).unionByName(rendered.kafka_files(_regions(t)))
+    names = [r["service"] for r in files.select("service").distinct().collect()]  # as many as a configuration names
+    filled = fill_scanners({"repos": [{"name": n, "scanners": None} for n in names]}, files.withColumn("relative", F.col("path")))
+    return _scanned(scan_services(files, {r["name"]: r["scanners"] for r in filled["repos"]}))
+
+
 _KIND = "CASE r_regionkey WHEN 0 THEN 'cube' WHEN 1 THEN 'graphql,ts_http_outbound' WHEN 2 THEN 'frontend_graphql,frontend_rest' WHEN 3 THEN 'graphql,http,kafka,backend_clients' ELSE 'fastapi' END"
 
 

@@ -30,10 +30,15 @@ PARTS_A_GROUP = 1000
 
 
 def grown(part: DataFrame) -> DataFrame:
-    """``part`` with names whose words end in the letters of the part's group, and p_kind, the type in such a word."""
+    """``part`` with p_group, letters for the part's group, names whose words end in them, and p_kind, the type in such a word."""
     letters = F.translate(F.floor(F.col("p_partkey") / PARTS_A_GROUP).cast("string"), "0123456789", "abcdefghij")
     words = [F.concat(F.split_part("p_name", F.lit(" "), F.lit(i)), letters) for i in (1, 2)]
-    return part.withColumns({"p_name": F.concat_ws(" ", *words), "p_kind": F.concat(F.lower("p_type"), letters)})
+    return part.withColumns({"p_name": F.concat_ws(" ", *words), "p_kind": F.concat(F.lower("p_type"), letters), "p_group": letters})
+
+
+def by_group(places: DataFrame, name: str, parts: DataFrame) -> DataFrame:
+    """Places once for each group of ``grown`` parts, with its letters behind their names."""
+    return places.crossJoin(F.broadcast(parts.select("p_group").distinct())).withColumn(name, F.concat(name, "p_group")).drop("p_group")
 
 
 def scanned_parts(part: DataFrame) -> DataFrame:

@@ -83,7 +83,9 @@ def test_other_services_score_higher(spark):
     assert [score_pairs(p).first()["total_score"] for p in pairs] == [pytest.approx(0.9969), pytest.approx(0.2933)]
 
 
-def test_prefix_filter_loses_no_edge(spark):
+@pytest.mark.parametrize("holders", [1000, 1, 2])
+def test_prefix_filter_loses_no_edge(spark, monkeypatch, holders):
+    monkeypatch.setattr("loomgraph.operators.similarity.HOLDERS_A_TASK", holders)
     nodes = graph(spark, *SMALL)
     idf = token_idf(nodes)
     every = score_pairs(nodes, idf, min_score=0.0).where("total_score >= 0.12").collect()
