@@ -4,8 +4,8 @@ A document is its set of distinct word n-grams.  Sets are taken in bands of size
 a band two sets that link differ in at most H n-grams.  The universe of n-grams is
 hashed into segments so that, by the pigeonhole principle, two such sets agree in one
 segment, or in one of the subset that has n-grams enough, or in two parts of a larger
-one, or in all but one n-gram of it.  Each band takes the cheapest of these allocations.  Sets with a signature in
-common are compared exactly.
+one, or in all but one n-gram of it.  Each band takes the cheapest of these allocations, for a large corpus, whatever the
+size of the one at hand: it depends on the size band alone.  Sets with a signature in common are compared exactly.
 
 A bucket of equal signatures may hold thousands of near copies.  Its members are
 compared with one leader, not with each other.  The differences to the leader are
@@ -38,8 +38,12 @@ PER_LEADER = 32
 #: joined by its rarest n-grams: of two that link, both are kept or both are joined so.
 NEAR = 0.6
 CACHED_WORDS = 200_000
+#: Holders of one n-gram that a task joins with all others; of an n-gram with more, they are dealt out by salt.
+PER_TASK = 1000
 #: Far members of a bucket up to which its pairs are formed; of more, only those that share a rare n-gram.
 SMALL_BUCKET = 8
+#: Documents of the corpus that allocations are chosen for.
+DOCUMENTS = 10_000_000
 #: For the cost of an allocation: what a comparison costs in rows, and the share of a set's n-grams that unlike sets may hold too.
 COMPARISON, SHARED = 50, 0.002
 #: And the share of a set that a passage of others may be, and how many of the unlike sets share one.
@@ -80,7 +84,7 @@ class Shingles:
 class Bands:
     """Bands of set sizes and, for each, the number of segments and what is indexed of them."""
 
-    def __init__(self, threshold_pct: int, documents: int, ratio: float = 1.4):
+    def __init__(self, threshold_pct: int, documents: int = DOCUMENTS, ratio: float = 1.4):
         self.pct, self.documents, self.ratio = threshold_pct, max(1, documents), ratio
         self.lows = [1, 2]
         self.chosen: dict[int, tuple[str, int, int, int]] = {}
@@ -201,9 +205,9 @@ def least_differ(a: bytes, b: bytes) -> int:
     return int((folded(x, size) ^ folded(y, size)).sum()) if size else 0
 
 
-def _features(n: int, pct: int, documents: int):
+def _features(n: int, pct: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, bands = Shingles(n), Bands(pct, documents)
+        shingles, bands = Shingles(n), Bands(pct)
         for batch in pieces(batches):
             keys, sizes, sigs, ends, sketches = [], [], [], [0], []
             for body in text_bytes(batch, 1):
@@ -321,6 +325,12 @@ def compare(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, n: int, pct
     return out
 
 
+def _dealt(x: DataFrame, y: DataFrame, holder: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by an n-gram with a salt: each holder on the left has one, each row on the right all, as many as the n-gram's ``df`` asks for."""
+    salts = F.ceil(F.col("df") / PER_TASK).cast("int")
+    return x.withColumn("salt", F.pmod(F.xxhash64(holder), salts).cast("int")).drop("df"), y.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("df")
+
+
 def _delta_links(near: DataFrame, pct: int) -> DataFrame:
     """Links (a, b) between members of one leader, of which one at least isn't linked with it, from their differences to it.
 
@@ -336,17 +346,18 @@ def _delta_links(near: DataFrame, pct: int) -> DataFrame:
     placed = ordered.withColumn("pos", F.col("differ") - F.count(F.lit(1)).over(shared) + F.row_number().over(shared.orderBy("df", "g")))
     placed = materialise(placed, "differences")
     y = placed.where(F.col("pos") <= F.floor(F.col("differ") * share) + 1).select(
-        "leader", "g", F.col("member").alias("b"), F.col("pos").alias("pb"), F.col("differ").alias("db"), F.col("size_m").alias("sb"), F.col("linked").alias("lb")
+        "leader", "g", "df", F.col("member").alias("b"), F.col("pos").alias("pb"), F.col("differ").alias("db"), F.col("size_m").alias("sb"), F.col("linked").alias("lb")
     )
     x = placed.where(~F.col("linked")).select(
-        "leader", "g", F.col("member").alias("a"), F.col("pos").alias("pa"), F.col("differ").alias("da"), F.col("size_m").alias("sa")
+        "leader", "g", "df", F.col("member").alias("a"), F.col("pos").alias("pa"), F.col("differ").alias("da"), F.col("size_m").alias("sa")
     )
     most = F.floor((F.col("sa") + F.col("sb")) * (100 - pct) / (100 + pct))
     least = (F.col("da") + F.col("db") - most) / 2
     room = 1 + F.least(F.col("da") - F.col("pa"), F.col("db") - F.col("pb"))
     fits = (room >= least) & (F.col("a") != F.col("b")) & (F.col("lb") | (F.col("a") < F.col("b")) | (F.col("pa") > F.floor(F.col("da") * share) + 1))
     sizes = (100 * F.least("sa", "sb") >= pct * F.greatest("sa", "sb")) & (F.abs(F.col("da") - F.col("db")) <= most)
-    same = (x["leader"] == y["leader"]) & (x["g"] == y["g"])
+    x, y = _dealt(x, y, "a")
+    same = (x["leader"] == y["leader"]) & (x["g"] == y["g"]) & (x["salt"] == y["salt"])
     found = x.join(y, same & fits & sizes).select(x["leader"], "a", "b").distinct()
     sets = near.select("leader", "member", "size_m", "differ", "delta")
     left = sets.select("leader", F.col("member").alias("a"), F.col("size_m").alias("sa"), F.col("differ").alias("da"), F.col("delta").alias("ga"))
@@ -383,11 +394,11 @@ def _rare_pairs(buckets: DataFrame, texts: DataFrame, n: int, pct: int) -> DataF
     own = Window.partitionBy("id")
     # N-grams that no other document has stand before these.
     placed = shared.withColumn("pos", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "g")))
-    prefix = materialise(placed.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * pct / 100) + 1).select("id", "n", "g", "pos"), "prefixes")
-    x, y = prefix.toDF("a", "na", "g", "pa"), prefix.toDF("b", "nb", "g", "pb")
+    prefix = materialise(placed.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * pct / 100) + 1).select("id", "n", "g", "pos", "df"), "prefixes")
+    x, y = _dealt(prefix.toDF("a", "na", "g", "pa", "df"), prefix.toDF("b", "nb", "g", "pb", "df"), "a")
     room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")) & ((100 + pct) * room >= pct * (F.col("na") + F.col("nb")))
-    met = x.join(y, (x["g"] == y["g"]) & fits).select("a", "b").distinct()
+    met = x.join(y, (x["g"] == y["g"]) & (x["salt"] == y["salt"]) & fits).select("a", "b").distinct()
     one, two = buckets.toDF("a", "sig"), buckets.toDF("b", "sig")
     return met.join(one, "a").join(two, ["b", "sig"], "left_semi").select(F.col("a").alias("leader"), F.col("b").alias("member")).distinct()
 
@@ -451,7 +462,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, pct: int = 90, doc_id: str = "d
     """
     source = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     texts = source.where(F.col("id").isNotNull()).select("id", F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
-    made = source.select(F.col("id").alias("doc_id"), "text").mapInArrow(_features(n, pct, docs.count()), "doc_id bigint, key binary, n bigint, sketch binary, sigs array<bigint>")
+    made = source.select(F.col("id").alias("doc_id"), "text").mapInArrow(_features(n, pct), "doc_id bigint, key binary, n bigint, sketch binary, sigs array<bigint>")
     made = materialise(made, "features")
     feats = materialise(made.drop("sigs"), "sets")
     classes = feats.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
