@@ -281,7 +281,7 @@ def plain_rules(rows, least_texts, fence):
             if c.isascii():
                 kinds["Latin"] += c.isalpha()
             else:
-                kinds[quality_rules._NAMES[quality_rules._SCRIPT_OF[c.encode()[0]]]] += 1
+                kinds[quality_rules._NAMES[quality_rules._SCRIPT_TABLE[c.encode()[0]]]] += 1
         kinds = {k: v for k, v in kinds.items() if k and v}
         script = min(kinds, key=lambda k: (-kinds[k], k)) if kinds else ""
         values = {"chars_per_token": chars / n if n else 0.0, "byte_share": sum(map(model.is_byte, tokens)) / n if n else 0.0, "entropy_share": entropy / math.log2(n) if n > 1 else 1.0}
@@ -385,6 +385,25 @@ def test_linked_sets_share_a_signature(pct, documents):
             assert len(np.intersect1d(bands.signatures(a), bands.signatures(b)))
 
 
+def test_components_with_dealt_ngrams(spark, monkeypatch):
+    """The same links where every n-gram that several hold is dealt out by salt."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 6])):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    texts += [" ".join(passage + [rng.choice(vocabulary) for _ in range(30)]) for _ in range(30)]
+    docs = list(enumerate(texts))
+    monkeypatch.setattr(ngram_join, "PER_TASK", 3)
+    out = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), 3, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == plain_components(docs, 3, 80)
+
+
 def test_components_odd_rows(odd, none):
     out = ngram_join.near_duplicates(odd).collect()
     assert len(out) == len(ODD)
