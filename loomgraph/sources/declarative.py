@@ -59,10 +59,13 @@ def topic_lines(files: DataFrame) -> DataFrame:
     """(service, path, key, topic) by lines alone: what stands below an indented ``topic:`` up to the next line without indent."""
     named = files.where(file_name(F.col("path")).rlike(r"^application.*\.yaml$"))
     lines = named.select("service", "path", F.posexplode(F.split(_lines(F.col("text")), "\n")).alias("n", "line"))
-    mark = F.when(F.col("line").rlike(r"^\s+topic:"), 1).when(F.col("line").rlike(r"^\S"), 0)
+    blank, word = F.substring("line", 1, 1).isin(" ", "\t"), F.trim(F.split_part("line", F.lit(":"), F.lit(1)))
+    mark = F.when(blank & (word == "topic") & F.contains("line", F.lit("topic:")), 1).when((F.col("line") != "") & ~blank, 0)
     within = F.last(mark, ignorenulls=True).over(Window.partitionBy("service", "path").orderBy("n"))
-    inside = lines.withColumn("i", within).where((F.col("i") == 1) & F.col("line").rlike(r"^\s+\w+:\s+\S"))
-    return inside.select("service", "path", F.regexp_extract("line", r"^\s+(\w+):\s+(\S+)", 1).alias("key"), F.regexp_extract("line", r"^\s+(\w+):\s+(\S+)", 2).alias("topic"))
+    rest = F.substr("line", F.locate(":", F.col("line")) + 1)
+    value = F.split_part(F.trim(rest), F.lit(" "), F.lit(1))
+    inside = lines.withColumn("i", within).where((F.col("i") == 1) & blank & word.rlike(r"^\w+$") & F.startswith(rest, F.lit(" ")) & (value != ""))
+    return inside.select("service", "path", word.alias("key"), value.alias("topic"))
 
 
 def resolve_properties(references: DataFrame, topics: DataFrame) -> DataFrame:

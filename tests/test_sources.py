@@ -326,3 +326,22 @@ class A extends B {
         ("A", "orders-svc", None, None), ("A.get", None, "GET", None), ("A.axios", None, None, None), ("A.fetch", "eu", "GET", "/api/eu/x"),
         ("A.send", "orders-svc", "GET", "/a/${x}"), ("A.OrderClient", "orders-svc", None, None),
     }
+
+
+@pytest.mark.parametrize(
+    ("url", "shown", "fields"),
+    [
+        ("/a/${x.y}/b/:id?q=${z}", "/a/{param}/b/{param}", ["x.y", "id", "z", "a", "b"]),
+        ("/v1/{id}/{k:int}", "/v1/{id}/{k{param}}", ["id", "k:int", "v1"]),
+        ("/plain", "/plain", ["plain"]),
+        ("/odd/{/${", "/odd/{/${", ["odd", "${"]),
+    ],
+)
+def test_rest_paths(url, shown, fields):
+    node = parsed._rest_node("s", "t", "p", "GET", url, "n")
+    assert (node["path"], node["fields"]) == (shown, fields)
+
+
+def test_topic_lines(spark):
+    yaml = "kafka:\n  topic:\n    a: one\n    b:\n    c-d: no\n    e:none\nother:\n    f: no\n"
+    assert [(r["key"], r["topic"]) for r in declarative.topic_lines(files(spark, ("application.yaml", yaml))).collect()] == [("a", "one")]
