@@ -164,33 +164,56 @@ def windows_of(words: list[bytes], window: int) -> list[list[bytes]]:
     return [words] if len(words) < window else [words[i : i + window] for i in range(len(words) - window + 1)]
 
 
-def search_block(block: Block, items: list[tuple], window: int, slack: float) -> tuple[dict[int, list], dict[int, list]]:
-    """For each document of the block by its number: (item, merged spans) of exact windows, and the items near by."""
+class Items:
+    """A chunk of the benchmark: its different words, each item's words by their numbers, and the places of all windows."""
+
+    def __init__(self, items: list[tuple], window: int):
+        self.ids = [i for i, w in items if w]
+        lists = [w for _, w in items if w]
+        number: dict[bytes, int] = {}
+        self.flat = np.array([number.setdefault(w, len(number)) for words in lists for w in words], np.int64)
+        self.words = list(number)
+        self.sizes = np.array([len(w) for w in lists], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.window = np.minimum(self.sizes, window)
+        many = self.sizes - self.window + 1
+        self.item = np.repeat(np.arange(len(lists)), many)
+        self.at = np.repeat(self.starts - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+
+
+def search_block(block: Block, items: Items, slack: float) -> tuple[dict[int, list], dict[int, list]]:
+    """For each document of the block by its number: (item, merged spans) of exact windows, and the items near by.
+
+    Each different word is looked up once; only windows, and for proximity items, all of whose words the block has are searched.
+    """
     exact: dict[int, list] = defaultdict(list)
     near: dict[int, list] = defaultdict(list)
-    for item, words in items:
-        if not words:
+    counts = np.fromiter(map(block.count, items.words), np.int64, len(items.words))
+    there = np.concatenate([[0], np.cumsum(counts[items.flat] > 0)])
+    whole = lambda at, n: there[at + n] - there[at] == n
+    found: dict[int, list[np.ndarray]] = defaultdict(list)
+    for k in np.flatnonzero(whole(items.at, items.window[items.item])).tolist():
+        item, at = int(items.item[k]), int(items.at[k])
+        codes = items.flat[at : at + int(items.window[item])]
+        found[item].append(block.phrase([items.words[c] for c in codes], counts[codes].tolist()))
+    for item, starts in found.items():
+        start, n = np.unique(np.concatenate(starts)), int(items.window[item])
+        if not len(start):
             continue
-        counts = [block.count(w) for w in words]
-        n = min(window, len(words))
-        there, starts = 0, []
-        for i, c in enumerate(counts):
-            there = there + 1 if c else 0
-            if there >= n:
-                starts.append(block.phrase(words[i - n + 1 : i + 1], counts[i - n + 1 : i + 1]))
-        if starts and len(start := np.unique(np.concatenate(starts))):
-            # Windows that touch or overlap in a document are one span.
-            doc = block.document(start)
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(start) > n) | (np.diff(doc) > 0)]))
-            last = np.concatenate([new[1:] - 1, [len(start) - 1]])
-            for d, a, b in zip(doc[new].tolist(), (start[new] - block.starts[doc[new]]).tolist(), (start[last] + n - 1 - block.starts[doc[new]]).tolist(), strict=True):
-                if exact[d] and exact[d][-1][0] is item:
-                    exact[d][-1][1].append((a, b))
-                else:
-                    exact[d].append((item, [(a, b)]))
-        if slack and all(counts):
-            for d in block.near(set(words), max(len(words), int(slack * len(words)))):
-                near[d].append(item)
+        # Windows that touch or overlap in a document are one span.
+        doc = block.document(start)
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(start) > n) | (np.diff(doc) > 0)]))
+        last = np.concatenate([new[1:] - 1, [len(start) - 1]])
+        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for d, a, b in zip(doc[new].tolist(), (start[new] - block.starts[doc[new]]).tolist(), (start[last] + n - 1 - block.starts[doc[new]]).tolist(), strict=True):
+            spans[d].append((a, b))
+        for d, s in spans.items():
+            exact[d].append((items.ids[item], s))
+    for item in np.flatnonzero(whole(items.starts, items.sizes)).tolist() if slack else ():
+        size = int(items.sizes[item])
+        words = {items.words[c] for c in items.flat[items.starts[item] : items.starts[item] + size]}
+        for d in block.near(words, max(size, int(slack * size))):
+            near[d].append(items.ids[item])
     return exact, near
 
 
@@ -223,11 +246,11 @@ def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", tex
 
     def searcher(sent, hits_only: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = sent.value
+            items = Items(sent.value, window)
             for batch in batches:
                 for row in batch.to_pylist():
                     block = Block(row)
-                    exact, near = search_block(block, items, window, slack)
+                    exact, near = search_block(block, items, slack)
                     some = np.array(sorted({*exact, *near}) if hits_only else range(len(block.ids)), np.int64)
                     hits = [[{"item_id": i, "spans": [{"first": a, "last": b} for a, b in s]} for i, s in exact.get(d, ())] for d in some.tolist()]
                     yield pa.RecordBatch.from_arrays(
