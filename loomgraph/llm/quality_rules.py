@@ -8,6 +8,8 @@ leaves its band, or where one of two base rules fails.
 
 from __future__ import annotations
 
+import functools
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -75,13 +77,24 @@ class Pieces:
         self.number.update(zip(new, range(have, have + len(new)), strict=True))
 
 
+@functools.cache
+def _pieces(model_file: str | None) -> Pieces:
+    """One for all tasks of a worker, so that words are encoded once in it."""
+    if model_file is None:
+        import public_tokenizers
+
+        model_file = public_tokenizers.path("piece_bpe_32k.model")
+    return Pieces(model_file)
+
+
 def repeated_words(words: list[bytes], window: int = 5) -> int:
     """Words that stand in some window of consecutive words found twice or more in the text."""
     n = len(words)
     if n <= window:
         return 0
-    numbers: dict[bytes, int] = {}
-    code = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, n)
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    code = np.fromiter(map(numbers.__getitem__, words), np.int64, n)
     # Equal windows get equal numbers: a window's number pairs that of its head with its last word.
     name = code
     for k in range(1, window):
@@ -100,17 +113,22 @@ def repeated_words(words: list[bytes], window: int = 5) -> int:
 #: Scripts by the first byte of their letters in UTF-8, up to and with the byte given; ASCII letters are Latin.
 _SCRIPTS = [(0xC2, ""), (0xCA, "Latin"), (0xCC, ""), (0xCF, "Greek"), (0xD4, "Cyrillic"), (0xD6, ""), (0xD7, "Hebrew"), (0xDB, "Arabic"), (0xDF, ""), (0xE0, "Indic"), (0xE2, ""), (0xE9, "Han"), (0xED, "Hangul"), (0xFF, "")]
 _NAMES = ["", *sorted({n for _, n in _SCRIPTS if n})]
-_SCRIPT_OF = np.zeros(256, np.int64)
-_SCRIPT_OF[[b for b in range(128) if chr(b).isalpha()]] = _NAMES.index("Latin")
-for _low, (_high, _name) in zip([0x7F, *[h for h, _ in _SCRIPTS]], _SCRIPTS, strict=False):
-    _SCRIPT_OF[_low + 1 : _high + 1] = _NAMES.index(_name)
-_SCRIPT_OF[0x80:0xC0] = 0
+
+
+def _script_of(b: int) -> int:
+    if b < 0x80:
+        return _NAMES.index("Latin") if chr(b).isalpha() else 0
+    return 0 if b < 0xC0 else _NAMES.index(next(name for high, name in _SCRIPTS if b <= high))
+
+
+_SCRIPT_TABLE = bytes(map(_script_of, range(256)))
 
 
 def _script(body: bytes) -> str:
     """The script of most letters, the first by name of those with as many; '' without letters of any known one."""
-    found = np.bincount(_SCRIPT_OF[np.frombuffer(body, np.uint8)], minlength=len(_NAMES))[1:]
-    return _NAMES[1 + int(found.argmax())] if found.any() else ""
+    marked = body.translate(_SCRIPT_TABLE)
+    most, first = max((marked.count(i), -i) for i in range(1, len(_NAMES)))
+    return _NAMES[-first] if most else ""
 
 
 def measure(body: bytes, pieces: Pieces) -> tuple:
@@ -178,12 +196,7 @@ def apply_rules(docs: DataFrame, model_file: str | None = None, text: str = "tex
     kinds = [pa.int64()] * 6 + [pa.float64()] * 4 + [pa.string()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_file is None:
-            import public_tokenizers
-
-            pieces = Pieces(public_tokenizers.path("piece_bpe_32k.model"))
-        else:
-            pieces = Pieces(model_file)
+        pieces = _pieces(model_file)
         for batch in batches:
             rows = [measure(x, pieces) for x in text_bytes(batch, at)]
             made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
