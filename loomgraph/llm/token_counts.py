@@ -9,6 +9,7 @@ the sums above.
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -61,6 +62,12 @@ class Encoder:
         return PreTokenTree(np.fromiter(map(len, pieces), np.int64, len(pieces)), self.counts(pieces))
 
 
+@functools.cache
+def _encoder(ranks_file: str | None) -> Encoder:
+    """One for all tasks of a worker, so that pieces are encoded once in it."""
+    return Encoder(ranks_file)
+
+
 class PreTokenTree:
     """Leaves of pre-tokens (length, tokens) under a binary tree of sums; node i has the children 2i and 2i + 1."""
 
@@ -181,7 +188,7 @@ def build_trees(docs: DataFrame, text: str = "text", ranks_file: str | None = No
     """``docs`` with n_pretokens, n_tokens and tree_lengths, tree_counts: the leaves of each text's tree, to be stored as 32-bit numbers; null counts as empty."""
 
     def make():
-        encoder = Encoder(ranks_file)
+        encoder = _encoder(ranks_file)
 
         def step(body):
             tree = encoder.tree(body or "")
@@ -212,7 +219,7 @@ def update_trees(stored: DataFrame, edits: str = "edits", text: str = "text", ra
     """
 
     def make():
-        encoder = Encoder(ranks_file)
+        encoder = _encoder(ranks_file)
 
         def step(body, lengths, counts, todo):
             tree = _planted(lengths, counts)
@@ -244,7 +251,7 @@ def count_edited(docs: DataFrame, edits: str = "edits", text: str = "text", rank
     stored = materialise(build_trees(docs.select(*[c for c in docs.columns if c not in new]), text, ranks_file), "trees")
 
     def make():
-        encoder = Encoder(ranks_file)
+        encoder = _encoder(ranks_file)
 
         def step(body, lengths, counts, todo):
             tree = _planted(lengths, counts)
