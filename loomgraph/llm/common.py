@@ -68,7 +68,7 @@ def bucketed(df: DataFrame, name: str, column: str) -> tuple[DataFrame, int]:
     The table's entry in the catalog goes when the driver ends, its files with the shared folder's others.
     """
     spark = df.sparkSession
-    buckets, path = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), scratch_path(spark, name)
+    buckets, path = min(50_000, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), scratch_path(spark, name)
     entry = path.rpartition("/")[2].replace("-", "_")
     df.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(buckets, column).saveAsTable(entry)
     atexit.register(_drop, spark, entry)
