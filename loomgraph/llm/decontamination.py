@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import ALNUM_TABLE, materialise, text_bytes
+from loomgraph.llm.common import ALNUM_TABLE, materialise, pieces, text_bytes
 
 #: A block is closed when it has this many words; a longer document has a block of its own size.
 BLOCK_WORDS = 1_000_000
@@ -79,7 +79,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
         ids, lengths, codes, vocabulary = fresh()
         number, size = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
+        for batch in pieces(batches):
             for key, body in zip(batch.column(0).to_pylist(), text_bytes(batch, 1), strict=True):
                 words = words_of(body)
                 ids.append(key)
@@ -247,8 +247,8 @@ def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", tex
     def searcher(sent, hits_only: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(sent.value, window)
-            for batch in batches:
-                for row in batch.to_pylist():
+            for one in pieces(batches, 1):
+                for row in one.to_pylist():
                     block = Block(row)
                     exact, near = search_block(block, items, slack)
                     some = np.array(sorted({*exact, *near}) if hits_only else range(len(block.ids)), np.int64)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import crc_bucket, text_bytes
+from loomgraph.llm.common import crc_bucket, pieces, text_bytes
 
 #: At most this many labelled documents, those with the smallest hashes, are taken to fit the tables.
 SAMPLE_ROWS = 30_000
@@ -199,7 +199,7 @@ def _cut_gain(g: np.ndarray, h: np.ndarray, i: int) -> float:
 
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         rows = [features_of(x) for x in text_bytes(batch, 0)]
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["id", "y", "x"])
 
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text", name: str =
     schema = docs.select(*columns).withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = np.array([features_of(x) for x in text_bytes(batch, at)], float).reshape(-1, len(FEATURES))
             out = sent.value.score(rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, name])
