@@ -58,14 +58,16 @@ def _within(rows: DataFrame, at: str, ttl_s: int) -> DataFrame:
 MOST_PENDING = 20
 
 
-def implicit_feedback(queries: DataFrame, expands: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
+def implicit_feedback(queries: DataFrame, expands: DataFrame, ttl_s: int = TTL_S, most: int | None = MOST_PENDING) -> DataFrame:
     """Each query's first expand within the time to live that matches a node name of it, as a positive row.
 
     queries: (session, query_id, hint, ts, clusters array<struct<rank, node_names, node_ids>>); expands: (session, name, ts).
     Names match if either contains the other, in lower case; a query counts once, by its first matching cluster.  A session waits for
     its last 20 queries that haven't counted yet, as in the stream, whose steps are taken here too: over stretches of a session without a pause longer than the time to live, which
-    know nothing of each other, in order of time and row by row.
+    know nothing of each other, in order of time and row by row.  With ``most`` None a session waits for all its queries.
     """
+    if most is None:
+        return first_matches(queries, expands, ttl_s)
     q = queries.select("session", F.lit("query").alias("kind"), "ts", "query_id", "hint", F.lit(None).cast("string").alias("name"), F.col("clusters").cast(CLUSTERS).alias("clusters"))
     e = expands.select("session", F.lit("expand").alias("kind"), "ts", F.lit(None).cast("bigint").alias("query_id"), F.lit(None).cast("string").alias("hint"), "name", F.lit(None).cast(CLUSTERS).alias("clusters"))
     rows = q.unionByName(e).where("ts IS NOT NULL AND session IS NOT NULL")
@@ -75,10 +77,37 @@ def implicit_feedback(queries: DataFrame, expands: DataFrame, ttl_s: int = TTL_S
     rows = rows.withColumn("__stretch", F.sum("__pause").over(own.rangeBetween(Window.unboundedPreceding, 0))).drop("__pause")
     order = ["session", "__stretch", "ts", F.when(F.col("kind") == "query", 0).otherwise(1), "query_id", "name"]
     dealt = rows.repartition("session", "__stretch").sortWithinPartitions(*order)
-    found = dealt.mapInArrow(pending_steps(ttl_s), IMPLICIT)
+    found = dealt.mapInArrow(pending_steps(ttl_s, most), IMPLICIT)
     return found.select("ts", "hint", "cluster_rank", "node_ids", F.lit(True).alias("accepted"), F.lit("implicit_expand").alias("source"), "session", "query_id")
 
 
+def first_matches(queries: DataFrame, expands: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
+    """``implicit_feedback`` where every query waits its whole time, so that queries don't depend on each other.
+
+    Within a stretch of time each different list of clusters meets each different name once; the next match of a query is then the
+    last one before it where a stretch's rows run backwards.  Of expands at one moment that with the least query_id, if they have any, comes first.
+    """
+    number = F.col("query_id") if "query_id" in expands.columns else F.lit(None)
+    shown = F.coalesce(F.col("clusters").cast(CLUSTERS), F.array().cast(CLUSTERS))
+    q = queries.where("ts IS NOT NULL AND session IS NOT NULL").withColumns({"clusters": shown, "__b": _buckets(F.col("ts"), ttl_s)}).withColumn("__key", F.sha2(F.to_json("clusters"), 256))
+    e = expands.where("ts IS NOT NULL AND session IS NOT NULL").select("session", "ts", number.cast("bigint").alias("__e"), F.coalesce("name", F.lit("")).alias("name"))
+    e = e.withColumn("__b", F.explode(F.array(_buckets(F.col("ts"), ttl_s), _buckets(F.col("ts"), ttl_s) - 1)))
+    low = F.lower("name")
+    hits = F.filter("clusters", lambda c: F.exists(c["node_names"], lambda n: F.contains(F.lower(n), low) | F.contains(low, F.lower(n))))
+    lists = q.groupBy("session", "__b", "__key").agg(F.first("clusters").alias("clusters"))
+    met = lists.join(e.select("session", "__b", "name").distinct(), ["session", "__b"]).withColumn("__hit", F.get(hits, F.lit(0))).where("__hit IS NOT NULL")
+    opened = e.join(met.select("session", "__b", "__key", "name", "__hit"), ["session", "__b", "name"])
+    opened = opened.select("session", "__b", "__key", "ts", "__e", "name", F.lit(1).alias("__opens"), F.lit(None).cast("bigint").alias("query_id"), F.lit(None).cast("string").alias("hint"), F.struct("ts", F.col("__hit.rank").alias("rank"), F.col("__hit.node_ids").alias("node_ids")).alias("__next"))
+    asked = q.select("session", "__b", "__key", "ts", F.lit(None).cast("bigint").alias("__e"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("__opens"), "query_id", "hint", F.lit(None).cast(opened.schema["__next"].dataType).alias("__next"))
+    backwards = Window.partitionBy("session", "__b", "__key").orderBy(F.desc("ts"), F.desc("__opens"), F.desc("__e"), F.desc("name")).rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(opened).withColumn("__next", F.last("__next", ignorenulls=True).over(backwards))
+    found = found.where((F.col("__opens") == 0) & (F.unix_micros("__next.ts") - F.unix_micros("ts") <= ttl_s * 1_000_000))
+    return found.select(
+        F.col("__next.ts").alias("ts"), "hint", F.col("__next.rank").alias("cluster_rank"), F.col("__next.node_ids").alias("node_ids"),
+        F.lit(True).alias("accepted"), F.lit("implicit_expand").alias("source"), "session", "query_id",
+    )
+
+
 def rating_nodes(ratings: DataFrame, queries: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
     """Ratings with the node ids of the session's latest query with the same hint that had the rated rank, within the time to live.
 
@@ -106,13 +135,13 @@ def matching_cluster(name: str, clusters: list[dict]) -> dict | None:
     return next((c for c in clusters if any(low in n.lower() or n.lower() in low for n in c["node_names"])), None)
 
 
-def step(waiting: list[tuple], row: Mapping, ttl_s: int, found: list[tuple]) -> list[tuple]:
+def step(waiting: list[tuple], row: Mapping, ttl_s: int, found: list[tuple], most: int = MOST_PENDING) -> list[tuple]:
     """What waits after a row; queries that it answers are added to ``found`` as (ts, query_id, hint, rank, node ids).
 
     ``waiting`` has (asked, query_id, hint, clusters), oldest first.
     """
     if row["kind"] == "query":
-        return [*waiting, (row["ts"], row["query_id"], row["hint"], row["clusters"] or [])][-MOST_PENDING:]
+        return [*waiting, (row["ts"], row["query_id"], row["hint"], row["clusters"] or [])][-most:]
     left = []
     for entry in waiting:
         asked, query_id, hint, clusters = entry
@@ -124,7 +153,7 @@ def step(waiting: list[tuple], row: Mapping, ttl_s: int, found: list[tuple]) ->
     return left
 
 
-def pending_steps(ttl_s: int):
+def pending_steps(ttl_s: int, most: int = MOST_PENDING):
     """Steps over rows that are sorted by session, stretch and time; what waits is all that is held."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +164,7 @@ def pending_steps(ttl_s: int):
                 if (row["session"], row["__stretch"]) != at:
                     at, waiting = (row["session"], row["__stretch"]), []
                 found: list[tuple] = []
-                waiting = step(waiting, row, ttl_s, found)
+                waiting = step(waiting, row, ttl_s, found, most)
                 out += [(row["session"], *f) for f in found]
             kinds = [pa.string(), batch.schema.field("ts").type, pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split()[0] for x in IMPLICIT.split(", ")])

@@ -388,3 +388,35 @@ def test_pairs_are_not_moved(spark):
     nodes = graph(spark, *SMALL)
     plan = score_pairs(nodes, token_idf(nodes))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Join")] and "Aggregate" not in plan[: plan.index("Join")]
+
+
+def all_matches(rows, ttl=600):
+    """Each query's first match among all expands, whatever waits beside it."""
+    found = []
+    opened = sorted((r for r in rows if r[1] == "expand"), key=lambda r: (r[2], r[3], r[5]))
+    for s, _, ts, query_id, hint, _, clusters in (r for r in rows if r[1] == "query"):
+        for e in (e for e in opened if e[0] == s and ts <= e[2] <= ts + dt.timedelta(seconds=ttl)):
+            hit = next((c for c in clusters if any(e[5].lower() in n or n in e[5].lower() for n in c[1])), None)
+            if hit:
+                found.append((s, e[2], query_id, hint, hit[0], tuple(hit[2])))
+                break
+    return sorted(found)
+
+
+def crowded_activity(seed, n=400):
+    """More than 20 queries wait at once, and several rows share a moment."""
+    return [(r[0], r[1], DAY + dt.timedelta(seconds=(r[2] - DAY).total_seconds() // 400 * 20), *r[3:]) for r in random_activity(seed, n=n) if r[1] == "query" or r[3] % 5 == 0]
+
+
+def test_feedback_of_a_busy_session_loses_no_query(spark):
+    rows = crowded_activity(4)
+    want = all_matches(rows)
+    assert len(want) > len(plain_feedback(rows)) and feedback_rows(B.implicit_feedback(*split_activity(spark, rows), most=None)) == want
+
+
+def test_stream_of_a_busy_session_loses_no_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(implicit, "implicit_feedback_stream", implicit.unlimited_feedback_stream)
+    rows = sorted(crowded_activity(5, n=200), key=lambda r: r[2])
+    end = [("", "expand", rows[-1][2] + dt.timedelta(days=1), None, None, "-", None)]
+    batches = [list(reversed(rows[i : i + 50])) for i in range(0, len(rows), 50)]
+    assert feedback_rows(streamed(spark, tmp_path, [*batches, end])) == all_matches(rows)
