@@ -420,3 +420,21 @@ def test_stream_of_a_busy_session_loses_no_query(spark, tmp_path, monkeypatch):
     end = [("", "expand", rows[-1][2] + dt.timedelta(days=1), None, None, "-", None)]
     batches = [list(reversed(rows[i : i + 50])) for i in range(0, len(rows), 50)]
     assert feedback_rows(streamed(spark, tmp_path, [*batches, end])) == all_matches(rows)
+
+
+def test_pairs_within_are_each_once(spark):
+    from loomgraph.operators.clusters import pairs_within
+
+    row = spark.createDataFrame([(["d", "a", "c", "b"], ["c", "a"])], "members array<string>, first array<string>")
+    found = [tuple(p) for p in row.select(pairs_within("members", "first")).first()[0]]
+    assert sorted(found) == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("c", "d")]
+
+
+def test_edges_of_nodes_keep_their_rows(spark):
+    from loomgraph.plans.query import edges_of
+
+    edges = spark.createDataFrame([("a", "b", 0.5), ("a", "c", 0.1), ("b", "c", 0.9), ("c", "d", 0.5)], "source_id string, target_id string, total_score double")
+    found = edges_of(edges, spark.createDataFrame([("a",), ("b",), ("b",)], "id string"), 0.25)
+    assert sorted(r[:2] for r in found.collect()) == [("a", "b"), ("b", "c")]
+    joined = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not joined.startswith("Aggregate")
