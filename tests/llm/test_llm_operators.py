@@ -618,6 +618,29 @@ def test_copies_are_scored_apart(spark):
     assert max(out[i] for i in learned & copies) < min(out[i] for i in out if i not in copies)
 
 
+def test_language_model_learns_from_every_block(spark, monkeypatch):
+    """The first weights and the map are those of all blocks, each by its training tokens."""
+    m, texts, learned = language_model, some_texts(17, 40), []
+    made = m.Mixer.__init__
+
+    def watched(self, *given):
+        learned.extend(given[2:])
+        made(self, *given)
+
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(12, "doc_id")
+    blocks = [m.Block(r.asDict()) for r in m.encode(docs, 10).collect()]
+    assert len(blocks) > 8
+    with monkeypatch.context() as patched:
+        patched.setattr(m.Mixer, "__init__", watched)
+        assert m.score(docs).count() == len(texts)
+    _, whole = one_block(spark, texts)
+    by_class = np.bincount((whole.words >> np.uint64(54)).astype(np.int64)[whole.tokens[~whole.held]], minlength=1 << 10)
+    first, (cells, frequent) = m.Mixer(10, by_class), cells_and_frequent(whole, m.FREQUENT)
+    each = [(int((~b.held).sum()), *first.learn(b, m.own_predictions(b, 10, cells, frequent))) for b in blocks]
+    weights, seen = sum(n * w for n, w, _ in each) / sum(n for n, _, _ in each), sum(s for _, _, s in each)
+    assert np.allclose(learned[0], weights, atol=1e-5) and np.allclose(learned[1], (seen[0] + 20 * first.refined) / (seen[1] + 20))
+
+
 def test_language_model_without_training(spark, none):
     assert language_model.score(none).isEmpty()
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
