@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -28,4 +29,16 @@ def cut(rows: DataFrame, name: str) -> DataFrame:
     """The rows written and read again: computed once however often they are used, and safe from lost executors."""
     path = shared_folder(rows.sparkSession, name)
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    written = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    written._scratch_path = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables of ``cut`` that nothing reads any more; Spark drops the shuffle files of plans that are gone when these are collected."""
+    for t in tables:
+        spark = t.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()

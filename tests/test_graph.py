@@ -438,3 +438,16 @@ def test_edges_of_nodes_keep_their_rows(spark):
     assert sorted(r[:2] for r in found.collect()) == [("a", "b"), ("b", "c")]
     joined = found._jdf.queryExecution().optimizedPlan().toString()
     assert not joined.startswith("Aggregate")
+
+
+def test_both_sides_of_a_key_are_one_shuffle(spark):
+    """Pairs of names take ids and names alone, and nodes are dealt once for both sides."""
+    nodes = graph(spark, *SMALL)
+    idf, before = token_idf(nodes), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = similarity.met(similarity._weighted(nodes, idf, fields=False), {similarity.NAMES: 0.0}, similarity.OF_NAMES)
+        assert pairs.schema["a"].dataType.names == [*similarity.OF_NAMES, "keys"]
+        assert pairs.collect() and "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
