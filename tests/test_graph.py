@@ -460,3 +460,15 @@ def test_degrees_store_no_edges(spark):
     assert "edges" not in graphs.stored
     assert sorted(found) == sorted(similarity.adjacency(graphs.edges).groupBy("id").count().collect())
     assert sorted(found) == sorted(registry.QUERIES["adjacency_degree"](spark, DATA).collect())
+
+
+def test_the_weight_shared_is_made_once(spark):
+    """Not for the union and the filter again; and it is that of the sets, empty and unlike ones too."""
+    nodes = graph(spark, *SMALL)
+    rows = similarity._weighted(nodes, token_idf(nodes))
+    pairs = rows.select(F.struct("*").alias("a")).crossJoin(rows.select(F.struct("*").alias("b"))).select("a", "b", similarity.name_score().alias("s"))
+    assert pairs._jdf.queryExecution().analyzed().toString().count("array_intersect(") == 1
+    for r in pairs.collect():
+        a, b, w = r["a"], r["b"], r["a"]["w"] | r["b"]["w"]
+        union = sum(w[t] for t in {*a["n"], *b["n"]})
+        assert r["s"] == pytest.approx(sum(w[t] for t in {*a["n"]} & {*b["n"]}) / union if union > 1e-12 else 0.0)
