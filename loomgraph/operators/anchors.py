@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scores as S
 from loomgraph.functions.tokens import split_tokens
+from loomgraph.operators.scratch import dealt, few
 
 LEAST, MOST_ANCHORS, MOST_FALLBACK = 0.15, 30, 10
 
@@ -29,7 +30,9 @@ def hint_scores(nodes: DataFrame, hints: DataFrame) -> DataFrame:
     """(hint_id, id, score, matches) of nodes that share a token with an effective hint; all others score 0."""
     keys = nodes.where(F.size("tokens") > 0).select("id", F.explode(F.array_union("tokens", "field_tokens")).alias("token"))
     met = hints.select("hint_id", F.explode("hint_tokens").alias("token")).join(keys, "token").select("hint_id", "id").distinct()
-    both = met.join(hints.select("hint_id", "hint_tokens"), "hint_id").join(nodes.select("id", "tokens", "field_tokens"), "id")
+    many = not few(hints)
+    asked = dealt(met, many).join(hints.select("hint_id", "hint_tokens"), "hint_id")
+    both = dealt(asked, many).join(nodes.select("id", "tokens", "field_tokens"), "id")
     score = S.hint_score(F.col("hint_tokens"), F.col("tokens"), F.col("field_tokens"))
     matches = S.hint_matches(F.col("hint_tokens"), F.col("tokens"), F.col("field_tokens"))
     return both.select("hint_id", "id", score.alias("score"), matches.alias("matches"), F.size("hint_tokens").alias("n_hint"))

@@ -10,14 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scores as S
-from loomgraph.operators.scratch import cut
+from loomgraph.operators.scratch import cut, dealt, few
 from loomgraph.operators.similarity import adjacency, degrees
 
 HOOD_FLOOR, MOST_MEMBERS, MERGE, SAME, LEAST_MEMBERS = 0.25, 12, 0.25, 0.7, 2
 
-#: So many ids are sent to where the edges lie.
-FEW = 2000
-
 
 def neighborhoods(anchors: DataFrame, edges: DataFrame) -> DataFrame:
     """(hint_id, rank, id, hood): an anchor with its best neighbours, 12 nodes at most, as a sorted array.
@@ -27,7 +24,8 @@ def neighborhoods(anchors: DataFrame, edges: DataFrame) -> DataFrame:
     near = adjacency(edges.where(F.col("total_score") >= HOOD_FLOOR)).where("neighbor_id <> id")
     grouped = best_neighbors(near, anchors, MOST_MEMBERS - 1).groupBy("id").agg(F.collect_list("neighbor_id").alias("__h"))
     hood = F.array_sort(F.array_union(F.array("id"), F.coalesce("__h", F.array().cast("array<string>"))))
-    return anchors.select("hint_id", "rank", "id").join(grouped, "id", "left").select("hint_id", "rank", "id", hood.alias("hood"))
+    asked = dealt(anchors.select("hint_id", "rank", "id"), not few(anchors))
+    return asked.join(grouped, "id", "left").select("hint_id", "rank", "id", hood.alias("hood"))
 
 
 def best_neighbors(near: DataFrame, ids: DataFrame, most: int) -> DataFrame:
@@ -35,7 +33,7 @@ def best_neighbors(near: DataFrame, ids: DataFrame, most: int) -> DataFrame:
 
     The best are taken where the rows lie, and again where a node's rows come together; for few ids only theirs are looked at.
     """
-    if ids.limit(FEW + 1).count() <= FEW:
+    if few(ids):
         near = near.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
     best = Window.partitionBy("id").orderBy(F.col("score").desc(), "neighbor_id")
     return near.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= most)
@@ -107,13 +105,16 @@ def score_clusters(groups: DataFrame, nodes: DataFrame, edges: DataFrame, anchor
 
     The mean runs over edges of 0.25 or more within the cluster that touch an anchor of the hint.
     """
+    many = not few(groups)
     member = groups.select("hint_id", "seed", F.explode("members").alias("id"))
     strong = edges.where(F.col("total_score") >= HOOD_FLOOR).select("source_id", "target_id", "total_score")
     ends = anchors.groupBy("hint_id").agg(F.collect_set("id").alias("__a"))
-    touched = groups.join(ends, "hint_id").withColumn("__a", F.array_intersect("members", "__a"))
-    inside = touched.select("hint_id", "seed", F.explode(pairs_within("members", "__a")).alias("p")).select("hint_id", "seed", "p.*").join(strong, ["source_id", "target_id"])
+    touched = dealt(groups, many).join(ends, "hint_id").withColumn("__a", F.array_intersect("members", "__a"))
+    pairs = touched.select("hint_id", "seed", F.explode(pairs_within("members", "__a")).alias("p")).select("hint_id", "seed", "p.*")
+    inside = dealt(pairs, many).join(strong, ["source_id", "target_id"])
     means = inside.groupBy("hint_id", "seed").agg(F.avg("total_score").alias("mean"))
-    known = member.join(nodes.select("id", "type", "service", "tokens", "field_tokens"), "id").join(anchors.select("hint_id", "id", "rank"), ["hint_id", "id"], "left")
+    known = dealt(member, many).join(nodes.select("id", "type", "service", "tokens", "field_tokens"), "id")
+    known = dealt(known, many).join(anchors.select("hint_id", "id", "rank"), ["hint_id", "id"], "left")
     aggs = [
         F.count_distinct("type").alias("n_types"),
         F.count_distinct("service").alias("n_services"),
@@ -121,14 +122,14 @@ def score_clusters(groups: DataFrame, nodes: DataFrame, edges: DataFrame, anchor
         F.count(F.lit(1)).alias("n"),
     ]
     if hints is not None:
-        known = known.join(hints.select("hint_id", "hint_tokens"), "hint_id")
+        known = dealt(known, many).join(hints.select("hint_id", "hint_tokens"), "hint_id")
         aggs += [
             F.array_distinct(F.flatten(F.collect_list(F.array_union("tokens", "field_tokens")))).alias("__tokens"),
             F.max(S.hint_score(F.col("hint_tokens"), F.col("tokens"), F.col("field_tokens"))).alias("relevance"),
             F.count_if(F.arrays_overlap("hint_tokens", "tokens")).alias("direct"),
             F.first("hint_tokens").alias("hint_tokens"),
         ]
-    found = known.groupBy("hint_id", "seed").agg(*aggs).join(means, ["hint_id", "seed"], "left")
+    found = dealt(known.groupBy("hint_id", "seed").agg(*aggs), many).join(means, ["hint_id", "seed"], "left")
     found = found.withColumn("confidence", S.cluster_confidence(F.coalesce("mean", F.lit(0.0)), F.col("n_types"), F.col("n_services")))
     if hints is not None:
         coverage = F.size(F.array_intersect("hint_tokens", "__tokens")) / F.greatest(F.size("hint_tokens"), F.lit(1))

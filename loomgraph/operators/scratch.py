@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
+#: So many rows may be sent to all executors, and so pass through the driver.
+FEW = 2000
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, or, in local mode, where that may be unset, below a folder of this process; it goes when the driver ends."""
@@ -34,6 +37,20 @@ def cut(rows: DataFrame, name: str) -> DataFrame:
     return written
 
 
+def few(rows: DataFrame) -> bool:
+    """Whether there are few rows; for tables of ``cut`` this looks at the ends of their files."""
+    return rows.limit(FEW + 1).count() <= FEW
+
+
+def dealt(rows: DataFrame, many: bool = True) -> DataFrame:
+    """Rows whose next join deals both sides by key, where there are many.
+
+    Spark takes the size of files for the size of what is read from them, though it is packed there and arrays explode to many rows, and
+    would send hundreds of MB through the driver.
+    """
+    return rows.hint("merge") if many else rows
+
+
 def release(*tables: DataFrame) -> None:
     """Removes tables of ``cut`` that nothing reads any more; Spark drops the shuffle files of plans that are gone when these are collected."""
     for t in tables:

@@ -16,7 +16,7 @@ from loomgraph.operators import stats as X
 from loomgraph.operators import substrings
 from loomgraph.operators.numbering import numbered
 from loomgraph.operators.scratch import shared_folder
-from loomgraph.operators import similarity
+from loomgraph.operators import scratch, similarity
 from loomgraph.operators.similarity import score_pairs, token_idf
 from loomgraph.plans import evaluate as E
 from loomgraph.plans import registry
@@ -472,3 +472,28 @@ def test_the_weight_shared_is_made_once(spark):
         a, b, w = r["a"], r["b"], r["a"]["w"] | r["b"]["w"]
         union = sum(w[t] for t in {*a["n"], *b["n"]})
         assert r["s"] == pytest.approx(sum(w[t] for t in {*a["n"]} & {*b["n"]}) / union if union > 1e-12 else 0.0)
+
+
+@pytest.fixture
+def many(spark, monkeypatch):
+    """A stored graph whose tables all count as large; Spark would send any of them, by the size of their files, to all executors."""
+    monkeypatch.setattr(scratch, "FEW", 0)
+    return registry.inputs(spark, DATA)
+
+
+def sent(rows):
+    """Joins that send a table through the driver, before anything is run."""
+    return rows._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_clusters_deal_what_grows(many):
+    from loomgraph.operators import anchors, clusters
+
+    assert sent(similarity._weighted(many.nodes, None)) <= 1  # where ranges of numbers start, a row a range
+    assert not sent(similarity.field_pairs(many.nodes, many.idf))
+    found = anchors.hint_scores(many.nodes, many.asked)
+    assert sent(found) <= 1 and found.count()  # tokens of hints may be sent to those of nodes
+    groups = scratch.cut(clusters.drop_repeats(clusters.merge_hoods(many.hoods)), "groups")
+    made = clusters.score_clusters(groups, many.nodes, many.edges, many.anchors, many.asked)
+    assert not sent(clusters.neighborhoods(many.anchors, many.edges)) and not sent(made)
+    assert made.count() == groups.count() > 0
