@@ -9,7 +9,7 @@ from loomgraph.functions import scores as S
 from loomgraph.operators import anchors as A
 from loomgraph.operators import clusters as C
 from loomgraph.operators import feedback as B
-from loomgraph.operators.scratch import cut
+from loomgraph.operators.scratch import cut, dealt, few
 from loomgraph.operators.similarity import adjacency
 from loomgraph.operators.substrings import contained
 
@@ -19,12 +19,14 @@ PER_BUCKET, MOST_SHOWN, SUMMARY_FLOOR, EXPAND_FLOOR, MOST_TARGETS, MOST_NEIGHBOR
 def strong_nodes(clusters: DataFrame, nodes: DataFrame, hints: DataFrame) -> DataFrame:
     """For hints of several tokens only nodes that match two, where at least two do."""
     each = clusters.select("hint_id", "rank", F.posexplode("node_ids").alias("pos", "id"))
-    known = each.join(nodes.select("id", "tokens", "field_tokens"), "id").join(hints.select("hint_id", "hint_tokens"), "hint_id")
+    many = not few(clusters)
+    known = dealt(each, many).join(nodes.select("id", "tokens", "field_tokens"), "id")
+    known = dealt(known, many).join(hints.select("hint_id", "hint_tokens"), "hint_id")
     strong = (F.size("hint_tokens") > 1) & (S.hint_matches(F.col("hint_tokens"), F.col("tokens"), F.col("field_tokens")) >= 2)
     n = F.count_if("strong").over(Window.partitionBy("hint_id", "rank"))
     kept = known.withColumn("strong", strong).withColumn("n", n).where("strong OR n < 2")
     back = kept.groupBy("hint_id", "rank").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("x"))
-    return clusters.drop("node_ids").join(back, ["hint_id", "rank"]).withColumn("node_ids", F.transform("x", lambda s: s["id"])).drop("x")
+    return dealt(clusters.drop("node_ids"), many).join(back, ["hint_id", "rank"]).withColumn("node_ids", F.transform("x", lambda s: s["id"])).drop("x")
 
 
 def distinct_sets(clusters: DataFrame) -> DataFrame:

@@ -497,3 +497,10 @@ def test_clusters_deal_what_grows(many):
     made = clusters.score_clusters(groups, many.nodes, many.edges, many.anchors, many.asked)
     assert not sent(clusters.neighborhoods(many.anchors, many.edges)) and not sent(made)
     assert made.count() == groups.count() > 0
+
+
+def test_strong_nodes_deal_what_grows(many):
+    from loomgraph.plans.query import strong_nodes
+
+    found = strong_nodes(many.clusters, many.nodes, many.asked)
+    assert not sent(found) and found.count() == many.clusters.count() > 0
