@@ -38,12 +38,12 @@ def distinct_sets(clusters: DataFrame) -> DataFrame:
 def trim(clusters: DataFrame, nodes: DataFrame) -> DataFrame:
     """(hint_id, rank, confidence, pos, id, type, service, raw_name, label): two of a service and type, twelve in all."""
     each = clusters.select("hint_id", "rank", "confidence", F.posexplode("node_ids").alias("at", "id"))
-    known = each.join(nodes.select("id", "type", "service", "raw_name", "method", "path"), "id")
+    known = dealt(each, not few(clusters)).join(nodes.select("id", "type", "service", "raw_name", "method", "path"), "id")
     bucket = Window.partitionBy("hint_id", "rank", "service", "type").orderBy("at")
-    few = known.withColumn("__b", F.row_number().over(bucket)).where(F.col("__b") <= PER_BUCKET)
-    few = few.withColumn("pos", F.row_number().over(Window.partitionBy("hint_id", "rank").orderBy("at"))).where(F.col("pos") <= MOST_SHOWN)
+    shown = known.withColumn("__b", F.row_number().over(bucket)).where(F.col("__b") <= PER_BUCKET)
+    shown = shown.withColumn("pos", F.row_number().over(Window.partitionBy("hint_id", "rank").orderBy("at"))).where(F.col("pos") <= MOST_SHOWN)
     label = S.node_label(F.col("type"), F.col("method"), F.col("path"))
-    return few.select("hint_id", "rank", "confidence", "pos", "id", "type", "service", "raw_name", label.alias("label"))
+    return shown.select("hint_id", "rank", "confidence", "pos", "id", "type", "service", "raw_name", label.alias("label"))
 
 
 def directed_summary(shown: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:

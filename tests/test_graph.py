@@ -504,3 +504,9 @@ def test_strong_nodes_deal_what_grows(many):
 
     found = strong_nodes(many.clusters, many.nodes, many.asked)
     assert not sent(found) and found.count() == many.clusters.count() > 0
+
+
+def test_trimmed_nodes_deal_what_grows(many):
+    from loomgraph.plans.query import distinct_sets, trim
+
+    assert not sent(trim(distinct_sets(many.strong), many.nodes))
