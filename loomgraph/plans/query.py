@@ -52,11 +52,13 @@ def directed_summary(shown: DataFrame, edges: DataFrame, nodes: DataFrame) -> Da
     known = known.select("source_id", "target_id", "total_score", "from_service", "to_service")
     member = shown.groupBy("hint_id", "rank").agg(F.collect_set("id").alias("ids"))
     pairs = member.select("hint_id", "rank", F.explode(C.pairs_within("ids", "ids")).alias("p")).select("hint_id", "rank", "p.*")
-    inside = pairs.join(known, ["source_id", "target_id"]).withColumn("score", S.shown_score(F.col("total_score")))
+    many = not few(shown)
+    inside = dealt(pairs, many).join(known, ["source_id", "target_id"]).withColumn("score", S.shown_score(F.col("total_score")))
     best = Window.partitionBy("hint_id", "rank", "from_service", "to_service").orderBy(F.col("score").desc(), F.col("total_score").desc(), "source_id", "target_id")
     first = inside.withColumn("__n", F.row_number().over(best)).where("__n = 1")
     names = nodes.select("id", "raw_name")
-    first = first.join(names.toDF("source_id", "from_node"), "source_id").join(names.toDF("target_id", "to_node"), "target_id")
+    first = dealt(first, many).join(names.toDF("source_id", "from_node"), "source_id")
+    first = dealt(first, many).join(names.toDF("target_id", "to_node"), "target_id")
     return first.select("hint_id", "rank", "from_service", "to_service", "from_node", "to_node", "score")
 
 

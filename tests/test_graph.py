@@ -510,3 +510,10 @@ def test_trimmed_nodes_deal_what_grows(many):
     from loomgraph.plans.query import distinct_sets, trim
 
     assert not sent(trim(distinct_sets(many.strong), many.nodes))
+
+
+def test_directed_summary_deals_what_grows(many):
+    from loomgraph.plans.query import directed_summary
+
+    found = directed_summary(many.shown, many.edges, many.nodes)
+    assert not sent(found) and found.count() > 0
