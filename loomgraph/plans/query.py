@@ -77,7 +77,8 @@ def query(nodes: DataFrame, edges: DataFrame, hints: DataFrame, top_n: int = 5,
     ``hints`` is (hint_id, hint); ``feedback`` the rows to rerank by, already cut to their age.
     """
     found, asked = ranked_clusters(nodes, edges, hints, top_n, feedback)
-    shown = cut(trim(distinct_sets(strong_nodes(found, nodes, asked)), nodes), "shown")
+    shown = cut(trim(distinct_sets(cut(strong_nodes(found, nodes, asked), "strong")), nodes), "shown")
+    many = not few(shown)
     order = F.struct("pos", "type", "label", F.col("raw_name").alias("name"), "service", "id")
     grouped = shown.groupBy("hint_id", "rank").agg(
         F.first("confidence").alias("confidence"),
@@ -86,7 +87,8 @@ def query(nodes: DataFrame, edges: DataFrame, hints: DataFrame, top_n: int = 5,
     )
     way = F.struct((-F.col("score")).alias("o"), "from_service", "to_service", "from_node", "to_node", "score")
     ways = directed_summary(shown, edges, nodes).groupBy("hint_id", "rank").agg(F.array_sort(F.collect_list(way)).alias("directed_edges"))
-    out = grouped.join(ways, ["hint_id", "rank"], "left").join(hints.select("hint_id", F.col("hint").alias("query")), "hint_id")
+    told = dealt(grouped, many).join(ways, ["hint_id", "rank"], "left")
+    out = dealt(told, many).join(hints.select("hint_id", F.col("hint").alias("query")), "hint_id")
     place = F.row_number().over(Window.partitionBy("hint_id").orderBy("rank"))
     bare = F.coalesce(F.transform("directed_edges", lambda e: e.dropFields("o")), F.array())
     return out.select("hint_id", "query", place.alias("rank"), "confidence", F.transform("nodes", lambda n: n.dropFields("pos")).alias("nodes"), "services", bare.alias("directed_edges"))

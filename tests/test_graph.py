@@ -517,3 +517,8 @@ def test_directed_summary_deals_what_grows(many):
 
     found = directed_summary(many.shown, many.edges, many.nodes)
     assert not sent(found) and found.count() > 0
+
+
+def test_answers_deal_what_grows(many):
+    found = query(many.nodes, many.edges, many.hints)
+    assert not sent(found) and found.count() > 0
