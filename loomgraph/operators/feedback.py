@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.scratch import dealt, few
+
 ACCEPTED, REJECTED, MAX_AGE_DAYS, TTL_S = 0.15, 0.10, 90, 600
 
 
@@ -33,10 +35,11 @@ def rerank(clusters: DataFrame, hints: DataFrame, counts: DataFrame) -> DataFram
 
     Floored at 0, not capped, rounded to 6 places; equal confidences keep their order.
     """
-    each = clusters.join(hints.select("hint_id", "hint"), "hint_id").select("hint_id", "rank", "hint", F.explode("node_ids").alias("node_id"))
+    many = not few(clusters)
+    each = dealt(clusters, many).join(hints.select("hint_id", "hint"), "hint_id").select("hint_id", "rank", "hint", F.explode("node_ids").alias("node_id"))
     shift = F.sum(F.col("accepted") * ACCEPTED - F.col("rejected") * REJECTED)
-    moved = each.join(counts, ["hint", "node_id"]).groupBy("hint_id", "rank").agg(F.round(shift, 9).alias("shift"))
-    joined = clusters.join(moved, ["hint_id", "rank"], "left")
+    moved = dealt(each, many).join(counts, ["hint", "node_id"]).groupBy("hint_id", "rank").agg(F.round(shift, 9).alias("shift"))
+    joined = dealt(clusters, many).join(moved, ["hint_id", "rank"], "left")
     adjusted = F.when(F.coalesce("shift", F.lit(0.0)) != 0, F.round(F.greatest(F.lit(0.0), F.col("confidence") + F.col("shift")), 6)).otherwise(F.col("confidence"))
     out = joined.withColumn("confidence", adjusted).withColumnRenamed("rank", "prior_rank").drop("shift")
     best = Window.partitionBy("hint_id").orderBy(F.col("confidence").desc(), "prior_rank")

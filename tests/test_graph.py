@@ -522,3 +522,8 @@ def test_directed_summary_deals_what_grows(many):
 def test_answers_deal_what_grows(many):
     found = query(many.nodes, many.edges, many.hints)
     assert not sent(found) and found.count() > 0
+
+
+def test_rerank_deals_what_grows(many):
+    found = B.rerank(many.clusters, many.hints, scratch.cut(B.feedback_counts(many.feedback), "counts"))
+    assert not sent(found) and found.count() == many.clusters.count() > 0
